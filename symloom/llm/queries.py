@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.llm import tokenize
+from symloom.llm import provenance, tokenize
 from symloom.plans.tables import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_reasons(spark, sf).select("file")
+
+
+def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.foreign_files(table(spark, sf, "source_files"), table(spark, sf, "configs"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p7_ids)}
 ORACLE: dict[str, str] = {}
