@@ -11,6 +11,8 @@ the reverse order of peeling.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,23 +139,23 @@ def hierarchy(links: DataFrame, with_path: bool = True, peel_share: float = PEEL
                 "tree", "node", "parent", "root", F.lit(None).cast("long").alias("depth"), F.coalesce("in_circle", F.lit(False)).alias("in_circle"), *no_path
             )
         )
+    levels = [scratch.cut(out)] if peeled else []
     for marked in reversed(peeled):
         leaves = marked.df.where(F.col("inner").isNull()).select("tree", "node", "parent")
-        above = out.select(
+        known = reduce(DataFrame.unionByName, [t.df for t in levels])
+        above = known.select(
             "tree", F.col("node").alias("parent"), "root", "depth", *([F.col("path").alias("up_path")] if with_path else []), F.lit(True).alias("inner")
         )
-        got = leaves.join(above, ["tree", "parent"], "left")
         is_top = F.col("inner").isNull()
-        out = out.unionByName(
-            got.select(
-                "tree", "node", "parent",
-                F.when(is_top, F.col("parent")).otherwise(F.col("root")).alias("root"),
-                F.when(is_top, F.lit(1).cast("long")).otherwise(F.col("depth") + 1).alias("depth"),
-                F.lit(False).alias("in_circle"),
-                *([F.when(is_top, F.array("parent", "node")).otherwise(F.concat("up_path", F.array("node"))).alias("path")] if with_path else []),
-            )
+        got = leaves.join(above, ["tree", "parent"], "left").select(
+            "tree", "node", "parent",
+            F.when(is_top, F.col("parent")).otherwise(F.col("root")).alias("root"),
+            F.when(is_top, F.lit(1).cast("long")).otherwise(F.col("depth") + 1).alias("depth"),
+            F.lit(False).alias("in_circle"),
+            *([F.when(is_top, F.array("parent", "node")).otherwise(F.concat("up_path", F.array("node"))).alias("path")] if with_path else []),
         )
-    return out
+        levels.append(scratch.cut(got))
+    return reduce(DataFrame.unionByName, [t.df for t in levels]) if levels else out
 
 
 def descendants(paths: DataFrame) -> DataFrame:
