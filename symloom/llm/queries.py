@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.llm import provenance, tokenize
+from symloom.llm import docpairs, provenance, tokenize
 from symloom.plans.tables import table
 
 
@@ -16,9 +16,17 @@ def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.foreign_files(table(spark, sf, "source_files"), table(spark, sf, "configs"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, sf, "symbols"), table(spark, sf, "source_files"))
+
+
+def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return docpairs.function_pairs(table(spark, sf, "symbols"), table(spark, sf, "source_files"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p7_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p7_ids)}
 ORACLE: dict[str, str] = {}
