@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.llm import docpairs, provenance, tokenize
+from symloom.llm import docpairs, leakage, provenance, tokenize
 from symloom.plans.tables import table
 
 
@@ -28,5 +28,9 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p7_ids)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p7_ids, p8_found)}
 ORACLE: dict[str, str] = {}
