@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from symloom.llm import docpairs, leakage, provenance, tokenize
+from symloom.llm import docpairs, leakage, neighbours, provenance, tokenize
 from symloom.plans.tables import table
 
 
@@ -24,6 +25,16 @@ def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.function_pairs(table(spark, sf, "symbols"), table(spark, sf, "source_files"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf, "vectors"), min_cosine=0.93, reach=0.998)
+    return neighbours.similar_pairs(near, 0.93)
+
+
+def p5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf, "vectors"))
+    return near.select("id", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, sf, "documents"))
 
@@ -32,5 +43,5 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p7_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p5_found, p5_nearest, p7_ids, p8_found)}
 ORACLE: dict[str, str] = {}
