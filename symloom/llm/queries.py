@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import docpairs, leakage, neighbours, provenance, tokenize
+from symloom.llm import docpairs, languages, leakage, neighbours, provenance, tokenize
 from symloom.plans.tables import table
 
 
@@ -43,5 +43,15 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p5_found, p5_nearest, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = languages.mislabelled(languages.identify(table(spark, sf, "documents")))
+    return found.select(F.col("doc").alias("doc_id"), "lang")
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    out = languages.identify(table(spark, sf, "documents")).select(F.col("doc").alias("doc_id"), F.explode("segments").alias("s"))
+    return out.select("doc_id", "s.first", "s.n", "s.lang", "s.confidence", "s.counts")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p5_found, p5_nearest, p7_ids, p8_found, p9_found, p9_segments)}
 ORACLE: dict[str, str] = {}
