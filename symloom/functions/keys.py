@@ -38,3 +38,22 @@ def clean_name(c: str | Column) -> Column:
     """A referred-to name without case and without blanks, quotes and angle
     brackets around it."""
     return F.lower(F.regexp_replace(col(c), "^[\\s'\"`<>]+|[\\s'\"`<>]+$", ""))
+
+
+# Short forms of kind names.
+SHORT_KINDS = {
+    "fn": "function", "func": "function", "fun": "function", "def": "function", "meth": "method", "var": "variable", "const": "constant",
+    "mod": "module", "cls": "class", "iface": "interface", "call": "calls", "import": "imports",
+}
+
+
+def full_kind(c: str | Column) -> Column:
+    """The cleaned kind with short forms spelled out."""
+    kind = clean_kind(c)
+    pairs = [F.lit(x) for pair in SHORT_KINDS.items() for x in pair]
+    return F.coalesce(F.element_at(F.create_map(*pairs), kind), kind)
+
+
+def plain_path(c: str | Column) -> Column:
+    """A path with forward slashes and no leading ``./``."""
+    return F.regexp_replace(F.replace(col(c), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
