@@ -16,10 +16,9 @@ ID_CHARS, HASH_DIM = 32, 32
 
 @F.pandas_udf(T.StringType())
 def _hash_id(text: pd.Series) -> pd.Series:
-    known = text.notna()
-    out = pd.Series([None] * len(text), dtype="object")
-    out[known] = [h[:16].tobytes().hex() for h in hashes([t.encode() for t in text[known]])]
-    return out
+    known = [t for t in text if t is not None]
+    rows = iter(hashes([t.encode() for t in known]))
+    return pd.Series([None if t is None else next(rows)[:16].tobytes().hex() for t in text], dtype="object")
 
 
 def symbol_id(lang: str | Column, kind: str | Column, fqname: str | Column, file: str | Column) -> Column:
@@ -38,11 +37,9 @@ def parse_id(c: str | Column) -> Column:
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(text: pd.Series) -> pd.Series:
     """32 numbers from 0 to 1 out of a text's hash; null for a null text."""
-    known = text.notna()
-    out = pd.Series([None] * len(text), dtype="object")
-    rows = hashes([t.encode() for t in text[known]]).astype(np.float32) / np.float32(255)
-    out[known] = list(rows)
-    return out
+    known = [t for t in text if t is not None]
+    rows = iter(hashes([t.encode() for t in known]).astype(np.float32) / np.float32(255))
+    return pd.Series([None if t is None else next(rows) for t in text], dtype="object")
 
 
 def collapse_blanks(c: str | Column) -> Column:

@@ -165,6 +165,10 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
+def _earlier(positions: Column, n: int) -> Column:
+    return F.transform(positions, lambda p: p - n)
+
+
 def _leaf_scores(index: TextIndex, leaves: list[Clause]) -> DataFrame | None:
     """``id, leaf, score``: the BM25 of every leaf, summed over its fields."""
     parts = []
@@ -194,7 +198,7 @@ def _leaf_scores(index: TextIndex, leaves: list[Clause]) -> DataFrame | None:
             row = hit.groupBy("field", "id").agg(*at.values())
             starts = None
             for i, w in enumerate(leaf.words):
-                begin = F.transform(F.col(f"p{words.index(w)}"), lambda x, i=i: x - i)
+                begin = _earlier(F.col(f"p{words.index(w)}"), i)
                 starts = begin if starts is None else F.array_intersect(starts, begin)
             met = row.select("field", "id", F.size(starts).alias("tf")).where("tf > 0")
         scored = met.join(F.broadcast(weight), "field").join(index.lengths, ["field", "id"])
