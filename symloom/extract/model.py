@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass, field
 
@@ -82,17 +83,47 @@ class Extraction:
     references: list[Reference] = field(default_factory=list)
 
 
-def qualified(file: str, found: list[Found], n: int, clean: bool = False) -> str:
-    """``file::scopes::name``. A scope that holds the name counts, which
-    includes the definition itself if it is one; not with ``clean``."""
-    me = found[n]
-    around = [f for f in found if f.node in SCOPES and f.node not in NAMELESS and f.named and f.start <= me.start and f.end >= me.end]
-    unique = {(f.start, f.end, f.name): f for f in around}
-    chain = sorted(unique.values(), key=lambda f: (f.start, -f.end))
-    names = [f.name for f in chain if not (clean and (f.start, f.end, f.name) == (me.start, me.end, me.name))]
-    if not clean and me.node == "decorated_definition":
-        names.append(me.name)  # the definition inside is a scope of its own name
-    return "::".join([file, *names, me.name])
+def qualified_names(file: str, found: list[Found], clean: bool = False) -> list[str]:
+    """``file::scopes::name`` of every symbol. A scope that holds the name
+    counts, which includes the definition itself if it is one; not with
+    ``clean``. One sweep over the spans, with a stack of open scopes."""
+    scopes = sorted({(f.start, -f.end, f.name) for f in found if f.node in SCOPES and f.node not in NAMELESS and f.named})
+    out = [""] * len(found)
+    stack: list[tuple[int, int, str]] = []
+    at = 0
+    for n in sorted(range(len(found)), key=lambda i: (found[i].start, -found[i].end)):
+        me = found[n]
+        while at < len(scopes) and scopes[at][:2] <= (me.start, -me.end):
+            while stack and -stack[-1][1] <= scopes[at][0]:
+                stack.pop()
+            stack.append(scopes[at])
+            at += 1
+        while stack and -stack[-1][1] <= me.start:
+            stack.pop()
+        own = (me.start, -me.end, me.name)
+        names = [s[2] for s in stack if -s[1] >= me.end and not (clean and s == own)]
+        if not clean and me.node == "decorated_definition":
+            names.append(me.name)  # the definition inside is a scope of its own name
+        out[n] = "::".join([file, *names, me.name])
+    return out
+
+
+def owners(found: list[Found], sites: list[int], innermost: bool = False) -> list[int | None]:
+    """For each place (in ascending order) the first symbol in order of
+    matching that spans it, or the shortest; null if there is none."""
+    by_start = sorted(range(len(found)), key=lambda i: found[i].start)
+    heap: list[tuple] = []
+    out: list[int | None] = []
+    at = 0
+    for site in sites:
+        while at < len(by_start) and found[by_start[at]].start <= site:
+            n = by_start[at]
+            heapq.heappush(heap, (found[n].end - found[n].start if innermost else 0, n))
+            at += 1
+        while heap and found[heap[0][1]].end <= site:
+            heapq.heappop(heap)
+        out.append(heap[0][1] if heap else None)
+    return out
 
 
 def signature(text: str) -> str:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 import tomllib
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
 from pathlib import Path
 
 from symloom.extract.lexing import FAMILIES, Source
-from symloom.extract.model import Extraction, Found, Reference, Symbol, doc_text, kind_of, qualified, signature
+from symloom.extract.model import Extraction, Found, Reference, Symbol, doc_text, kind_of, owners, qualified_names, signature
 
 PACKAGED = Path(__file__).parent / "languages"
 
@@ -121,7 +122,11 @@ def _scan(src: Source, lang: Language) -> list[Found]:
 def _sites(src: Source, patterns: tuple[str, ...], raw: bool) -> list[tuple[int, str]]:
     text = src.text if raw else src.code
     hits = [(m.start(g), src.raw(*m.span(g))) for p in patterns for m in _compiled(p).finditer(text) for g in ("name",)]
-    in_comment = lambda at: any(a <= at < b for a, b in src.comments)
+
+    def in_comment(at: int) -> bool:
+        k = bisect_right(src.comments, (at, len(src.text))) - 1
+        return k >= 0 and at < src.comments[k][1]
+
     return sorted({h for h in hits if h[1] and not (raw and in_comment(h[0]))})
 
 
@@ -129,14 +134,11 @@ def finish(src: Source, lang: Language, file: str, found: list[Found], calls: li
     """Symbols with names, signatures and docs; calls go to the first symbol
     that spans them (or the innermost), imports to the file's first symbol."""
     out = Extraction()
-    for n, f in enumerate(found):
-        fq = qualified(file, found, n, clean)
+    for f, fqname in zip(found, qualified_names(file, found, clean), strict=True):
         sig = signature(src.raw(f.start, f.end))
-        out.symbols.append(Symbol(lang.id, kind_of(f.node), f.name, fq, file, f.start, f.end, src.line(f.start), src.line(max(f.end - 1, f.start)), sig or None, doc_text(src.comments_before(f.start))))
-    for at, name in calls:
-        around = [n for n, f in enumerate(found) if f.start <= at < f.end]
-        if around:
-            owner = min(around, key=lambda n: found[n].end - found[n].start) if innermost else around[0]
+        out.symbols.append(Symbol(lang.id, kind_of(f.node), f.name, fqname, file, f.start, f.end, src.line(f.start), src.line(max(f.end - 1, f.start)), sig or None, doc_text(src.comments_before(f.start))))
+    for (_, name), owner in zip(calls, owners(found, [at for at, _ in calls], innermost), strict=True):
+        if owner is not None:
             out.references.append(Reference(owner, name, "calls"))
     if found:
         out.references += [Reference(0, name, "imports") for _, name in imports]

@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.extract.rules import Registry
+from symloom.extract.tables import RegexEdges, extracted, references_of, symbols_of
 from symloom.functions.keys import clean_kind, clean_name, full_kind, plain_path
 from symloom.functions.scalars import collapse_blanks, extension, hash_embedding, symbol_id, tokens
 from symloom.operators import deltas, fulltext, graph, vectors
+from symloom.plans.index import with_positions
 from symloom.plans.tables import table
+from symloom.streaming import watch
 
 SNAPSHOT = "2024-04-15 00:00:00"
 
@@ -216,6 +220,37 @@ def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
+def _extracted(spark: SparkSession, sf: str) -> DataFrame:
+    files = with_positions(table(spark, sf, "source_files").dropDuplicates(["file"]))
+    return extracted(files, Registry.load())
+
+
+def extract_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols_of(_extracted(spark, sf)).drop("name_ci")
+
+
+def extract_refs(spark: SparkSession, sf: str) -> DataFrame:
+    return references_of(_extracted(spark, sf)).drop("to_name_ci")
+
+
+def extract_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _extracted(spark, sf).groupBy("lang", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def plugin_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """References from imports of a file to the module they name, by pattern."""
+    files = table(spark, sf, "source_files").dropDuplicates(["file"])
+    plugin = RegexEdges("returns", r"(?:func|fn|def|function) (\w+)\([^{:]*?(?:->|:) ?(\w+)", "returns")
+    return plugin.apply(files, symbols_of(_extracted(spark, sf)))
+
+
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{sf}/events.parquet"
+    stream = watch.read_stream(spark, path, spark.read.parquet(path).schema)
+    out = watch.run_available(watch.session_stream(stream, "user_id", "ts"))
+    return out.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
 def supply_callers(spark: SparkSession, sf: str) -> DataFrame:
     """Who is called by whom where orders contain parts: parallel edges, bigger tables."""
     edges = table(spark, sf, "lineitem").select(
@@ -233,6 +268,7 @@ QUERIES = {
         remove_files_symbols, remove_files_edges, index_status, resolve_refs, neighborhood_d2, neighborhood_capped, member_owner, fqname, kind_forms,
         symbol_ids, collapse_ws, file_extensions, regex_edges, term_stats, postings, bm25_all, bm25_topk, bm25_field, phrase, boolean_search, symbol_search,
         vector_topk, vector_search, hash_embed, snapshot_diff, mtime_filter, debounce_sessions, supply_callers,
+        extract_symbols, extract_refs, extract_status, plugin_edges, stream_sessions,
     )
 }
 
@@ -317,3 +353,4 @@ ORACLE = {
         SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM h GROUP BY user_id, s""",
     "supply_callers": "SELECT 'P' || l_partkey AS id, 'O' || l_orderkey AS other, o_orderpriority AS name, l_returnflag AS edge_kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey IN (SELECT p_partkey FROM part)",
 }
+ORACLE["stream_sessions"] = ORACLE["debounce_sessions"]

@@ -14,6 +14,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +91,11 @@ def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFram
 
     def put(df: DataFrame, name: str, *by: str) -> DataFrame:
         df.write.partitionBy(*by).parquet(f"{index.path}/{name}")
-        return index.table(name)
+        try:
+            return index.table(name)
+        except AnalysisException:  # partitioned and empty: no file tells the schema
+            df.limit(0).write.mode("overwrite").parquet(f"{index.path}/{name}")
+            return index.table(name)
 
     kept_files = put(files, "files")
     kept = put(symbols, "symbols", "lang")

@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    target, fs = _path(spark, path)
+    return fs.exists(target) and fs.getFileStatus(target).isFile()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     target, fs = _path(spark, path)
     stream = fs.open(target)

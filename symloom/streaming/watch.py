@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from symloom.plans.scratch import shared_dir
+from symloom.sources import fs
 
 
 def watch(spark: SparkSession, refresh: Callable[[], object], every: str = "2 seconds", checkpoint: str | None = None, errors: list | None = None) -> StreamingQuery:
@@ -57,4 +58,9 @@ def run_available(df: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    """Parquet files of a folder, or of one file's name in its folder, as a stream."""
+    reader = spark.readStream.schema(schema)
+    if fs.is_file(spark, path):
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
