@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.extract.model import Extraction
 from symloom.extract.rules import Registry, extract
 from symloom.functions.blake import hashes
+from symloom.plans.tables import spread
 
 #: Most symbols of one file; a file's position times this plus the symbol's is its order.
 PER_FILE = 1 << 20
@@ -39,32 +41,32 @@ def extracted(files: DataFrame, registry: Registry, innermost: bool = False, cle
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for file, data, pos in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            rows, got = [], []
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lang = registry.for_file(file)
-                row = {"file": file, "lang": lang.id if lang else None, "status": "ok", "symbols": [], "refs": []}
-                if data is None or lang is None:
-                    row["status"] = "no_language" if lang is None else "unreadable"
-                else:
+                status, result = "no_language" if lang is None else "unreadable" if data is None else "ok", Extraction()
+                if status == "ok":
                     try:
-                        row["symbols"], row["refs"] = _rows(file, data, lang, pos, innermost, clean_names)
+                        result = extract(file, data, lang, innermost, clean_names)
                     except Exception:  # noqa: BLE001  one file must not stop the others
-                        row["status"] = "error"
-                rows.append(row)
+                        status = "error"
+                rows.append({"file": file, "lang": lang.id if lang else None, "status": status})
+                got.append(result)
+            # all names of a batch are hashed together
+            ids = iter(hashes([f"{s.lang}:{s.kind}:{s.fqname}:{s.file}".encode() for r in got for s in r.symbols]))
+            for row, result, pos in zip(rows, got, batch.column(2).to_pylist(), strict=True):
+                row["symbols"], row["refs"] = _rows(row["file"], result, [next(ids)[:16].tobytes().hex() for _ in result.symbols], pos)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     asked = files.where("file IS NOT NULL").select("file", F.col("content").cast("binary").alias("content"), (F.col("pos") if has_pos else F.lit(0)).cast("long").alias("pos"))
-    return asked.mapInArrow(run, f"file string, lang string, status string, symbols array<struct<{_ddl(SYMBOL)}>>, refs array<struct<{_ddl(REFERENCE)}>>")
+    return spread(asked, "file").mapInArrow(run, f"file string, lang string, status string, symbols array<struct<{_ddl(SYMBOL)}>>, refs array<struct<{_ddl(REFERENCE)}>>")
 
 
 def _ddl(columns: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (c.split() for c in columns.split(", ")))
 
 
-def _rows(file, data, lang, pos, innermost, clean_names):
-    got = extract(file, data, lang, innermost, clean_names)
-    ids = hashes([f"{s.lang}:{s.kind}:{s.fqname}:{s.file}".encode() for s in got.symbols])
-    names = [h[:16].tobytes().hex() for h in ids]
+def _rows(file: str, got: Extraction, names: list[str], pos: int) -> tuple[list[dict], list[dict]]:
     symbols = [
         {"id": i, "lang": s.lang, "kind": s.kind, "name": s.name, "name_ci": s.name.lower(), "fqname": s.fqname, "file": s.file, "start_byte": s.start_byte, "end_byte": s.end_byte,
          "start_line": s.start_line, "end_line": s.end_line, "signature": s.signature, "doc": s.doc, "ord": pos * PER_FILE + n}
