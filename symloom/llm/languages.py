@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symloom.plans.scratch import Scratch
+from symloom.plans.tables import spread
 
 #: The languages that texts may be in.
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "ja")
@@ -104,8 +105,8 @@ def is_prose(sentence: str) -> bool:
         return True
     words = _WORD.findall(sentence)
     letters = sum(map(len, words))
-    shown = sum(not c.isspace() for c in sentence)
-    return len(words) >= 3 and sum(w[:1].islower() or len(w) == 1 or w.isupper() for w in words) >= 2 and letters >= 0.7 * shown
+    shown = len(sentence) - sentence.count(" ")
+    return len(words) >= 3 and letters >= 0.7 * shown and sum(w[:1].islower() or len(w) == 1 or w.isupper() for w in words) >= 2
 
 
 def label_language(label: Column) -> Column:
@@ -299,7 +300,7 @@ def _prepared(docs: DataFrame, doc: str, text: str, label: str, languages: Seque
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut], names=["doc", "named", "sentences"])
 
     rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), label_language(F.col(label)).alias("named"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc {kind}, named string, sentences array<string>").where(F.size("sentences") > 0)
+    return spread(rows, "doc").mapInArrow(run, f"doc {kind}, named string, sentences array<string>").where(F.size("sentences") > 0)
 
 
 def _idf(prepared: DataFrame) -> np.ndarray:

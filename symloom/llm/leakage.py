@@ -24,6 +24,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.plans.tables import spread
+
 MIN_WORDS = 13
 #: Shortest passage of each size class, in characters; a passage has at least
 #: as many characters as words.
@@ -197,12 +199,12 @@ def leaked_items(
             flat = np.concatenate(values) if values else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(flat, pa.int64())], names=["doc", "value"])
 
-    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL").distinct()
-    hits = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(run, f"doc {doc_type}, value bigint")
+    whole = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    hits = spread(whole, "doc").mapInArrow(run, f"doc {doc_type}, value bigint")
     filed = F.broadcast(kept) if kept is not None else _item_index(items, item, text, min_words)
     pairs = hits.join(filed.select("value", "item"), "value").select("doc", "item").distinct()
     item_texts = items.select(F.col(item).alias("item"), F.col(text).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL")
-    open_pairs = pairs.join(texts, "doc").join(item_texts, "item").select("doc", "item", "text", "item_text")
+    open_pairs = pairs.join(whole.distinct(), "doc").join(item_texts, "item").select("doc", "item", "text", "item_text")
     item_type = items.schema[item].dataType.simpleString()
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,8 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from symloom.plans.tables import spread
+
 #: Fixed value: the pre-token pattern that belongs to the public vocabulary.
 PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -110,7 +112,8 @@ def encode_documents(
 
     Null and empty texts give an empty list, blank ones are encoded as they
     are, strings that look like special tokens are ordinary text. One row per
-    input row, repeated rows included; a null key stays; no shuffle. Further
+    input row, repeated rows included; a null key stays; a shuffle only where the table
+    comes in fewer parts than there are cores. Further
     columns are ignored. The vocabulary's path must be readable by the driver;
     the model (about a megabyte) is broadcast.
     """
@@ -126,4 +129,4 @@ def encode_documents(
                 ids = pa.array(part, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 256), ids], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return spread(df.select(key, text), key).mapInArrow(run, schema)
