@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import shutil
 from pathlib import Path
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from symloom.extract.rules import PACKAGED, Registry, parse_language
 from symloom.extract.tables import PluginRegistry
-from symloom.functions.blake import hashes
-from symloom.operators import fulltext, graph, vectors
+from symloom.functions.embedders import Embedder, HashEmbedder
+from symloom.operators import deltas, fulltext, graph, vectors
 from symloom.plans import index as indexing
 from symloom.sources import config as conf
 from symloom.sources import walk as walking
@@ -21,8 +22,9 @@ SYMBOL_COLUMNS = ("id", "name", "kind", "lang", "file")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base: str | Path = ".", plugins: PluginRegistry | None = None) -> None:
+    def __init__(self, spark: SparkSession, base: str | Path = ".", plugins: PluginRegistry | None = None, embedder: Embedder | None = None) -> None:
         self.spark, self.base, self.plugins = spark, Path(base), plugins or PluginRegistry()
+        self.embedder = embedder or HashEmbedder()
         self.config = conf.Config.load(self.base)
         self._index: indexing.Index | None = None
 
@@ -82,12 +84,35 @@ class Engine:
         self._index = None
         if incremental:
             try:
-                return indexing.refresh(self.spark, self._files(), self.registry, self.folder, self.plugins, head)
+                return indexing.refresh(self.spark, self._files(), self.registry, self.folder, self.plugins, head, self.embedder)
             except indexing.IndexNotFound:
                 pass
-        self._index = indexing.build(self.spark, self._files(), self.registry, self.folder, self.plugins, head)
+        self._index = indexing.build(self.spark, self._files(), self.registry, self.folder, self.plugins, head, self.embedder)
         return None
 
+    def changes(self, by: str = "content") -> DataFrame:
+        """``file, change`` (A, M, D) since the index was made: by ``content``
+        hash, by ``git`` against the recorded commit, or by ``mtime`` (which
+        sees no deletion). Git that cannot tell falls back to content."""
+        now = self.index_tables
+        if by == "git" and now.state.get("git_head"):
+            found = walking.git_changes(self.base, now.state["git_head"])
+            if found is not None:
+                known = {f: c for f, c in found.items() if self.registry.for_file(f)}
+                return self.spark.createDataFrame(sorted(known.items()), "file string, change string")
+        if by == "mtime":
+            moment = datetime.datetime.fromtimestamp(now.state["indexed_at"], datetime.UTC)
+            old = now.table("files").select("file", F.lit("M").alias("was"))
+            return deltas.changed_since(self._files(), moment).select("file").join(old, "file", "left").select("file", F.coalesce("was", F.lit("A")).alias("change"))
+        return deltas.snapshot_diff(now.table("files"), self._files(), "file", "content_hash")
+
+    def register_views(self, prefix: str = "code_") -> list[str]:
+        """The tables as temporary views for SQL."""
+        names = [f"{prefix}{t}" for t in indexing.TABLES]
+        for name, t in zip(names, indexing.TABLES, strict=True):
+            self.index_tables.table(t).createOrReplaceTempView(name)
+        return names
+
     def watch(self, every: str = "2 seconds", errors: list | None = None):
         return watching.watch(self.spark, lambda: self.index(incremental=True), every, errors=errors)
 
@@ -98,9 +123,8 @@ class Engine:
         return hits.join(self.index_tables.symbols.select(*SYMBOL_COLUMNS), "id").select(*SYMBOL_COLUMNS, "score").orderBy(F.desc("score"), "id")
 
     def semantic_search(self, query: str, limit: int = 10) -> DataFrame:
-        asked = [float(b) / 255 for b in hashes([query.encode()])[0]]
         live = self.index_tables.table("vectors").join(self.index_tables.symbols.select("id"), "id", "left_semi")
-        hits = vectors.top_k(live, asked, limit)
+        hits = vectors.top_k(live, self.embedder.one(query), limit)
         return hits.join(self.index_tables.symbols.select(*SYMBOL_COLUMNS), "id").select(*SYMBOL_COLUMNS, "score").orderBy(F.desc("score"), "id")
 
     def find(self, needle: str, kind: str | None = None, lang: str | None = None, limit: int = 20) -> DataFrame:

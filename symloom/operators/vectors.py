@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.functions.scalars import cosine, hash_embedding
+from symloom.functions.embedders import Embedder, HashEmbedder
+from symloom.functions.scalars import cosine
 
 #: Queries that are sent to all tasks at once; more are taken block by block.
 QUERY_BLOCK = 2_000
 
 
-def index_names(symbols: DataFrame) -> DataFrame:
-    """``id, vec``: the hash embedding of every symbol's name."""
-    return symbols.select("id", hash_embedding("name").alias("vec"))
+def index_names(symbols: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """``id, vec``: the embedding of every symbol's name."""
+    return symbols.select("id", (embedder or HashEmbedder()).column("name").alias("vec"))
 
 
 def upsert(vectors: DataFrame, new: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from symloom.extract.rules import Registry
 from symloom.extract.tables import PluginRegistry, extracted, references_of, symbols_of
+from symloom.functions.embedders import Embedder, HashEmbedder
 from symloom.operators import deltas, fulltext, graph, vectors
 from symloom.sources import fs
 
@@ -85,7 +86,7 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return graph.resolve_references(asked, symbols).select("src", "dst", "kind", F.col("ref_seq").alias("seq"))
 
 
-def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFrame, refs: DataFrame, vecs: DataFrame | None, state: dict) -> Index:
+def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFrame, refs: DataFrame, vecs: DataFrame | None, state: dict, embedder: Embedder) -> Index:
     version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
     index = Index(spark, f"{folder}/{version}")
 
@@ -104,8 +105,8 @@ def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFram
     put(text.postings, "postings", "field")
     put(text.lengths, "lengths")
     put(text.stats, "stats")
-    put(vectors.index_names(kept) if vecs is None else vecs, "vectors")
-    state = state | {"indexed_at": int(time.time()), "file_count": kept_files.where("status = 'ok'").count(), "embedder": "hash", "dim": 32}
+    put(vectors.index_names(kept, embedder) if vecs is None else vecs, "vectors")
+    state = state | {"indexed_at": int(time.time()), "file_count": kept_files.where("status = 'ok'").count(), "embedder": embedder.name, "dim": embedder.dim}
     fs.write_text(spark, f"{index.path}/{STATE}", json.dumps(state, indent=2))
     fs.write_text(spark, f"{folder}/{POINTER}", version)
     return index
@@ -123,11 +124,11 @@ def _extract(files: DataFrame, registry: Registry, plugins: PluginRegistry | Non
     return kept, symbols, refs
 
 
-def build(spark: SparkSession, files: DataFrame, registry: Registry, folder: str, plugins: PluginRegistry | None = None, git_head: str | None = None) -> Index:
+def build(spark: SparkSession, files: DataFrame, registry: Registry, folder: str, plugins: PluginRegistry | None = None, git_head: str | None = None, embedder: Embedder | None = None) -> Index:
     """A new index of ``files`` (``file, content, content_hash, ...``),
     replacing any that the folder holds."""
     placed = with_positions(files.dropDuplicates(["file"]))
-    return _write(spark, folder, *_extract(placed, registry, plugins), None, {"git_head": git_head})
+    return _write(spark, folder, *_extract(placed, registry, plugins), None, {"git_head": git_head}, embedder or HashEmbedder())
 
 
 @dataclass
@@ -138,11 +139,14 @@ class Refreshed:
     symbols_removed: int
 
 
-def refresh(spark: SparkSession, files: DataFrame, registry: Registry, folder: str, plugins: PluginRegistry | None = None, git_head: str | None = None) -> Refreshed:
+def refresh(spark: SparkSession, files: DataFrame, registry: Registry, folder: str, plugins: PluginRegistry | None = None, git_head: str | None = None, embedder: Embedder | None = None) -> Refreshed:
     """Bring the index to the state of ``files`` (all of them): only files
     whose content hash is new or differs are read by the extractor; what
-    vanished is removed. The result equals a full build but for positions."""
-    old = open_index(spark, folder)
+    vanished is removed. The result equals a full build but for positions. An
+    index made with another embedder is refused, as vectors would not compare."""
+    old, embedder = open_index(spark, folder), embedder or HashEmbedder()
+    if old.state["embedder"] != embedder.name:
+        raise RuntimeError(f"the index was made with {old.state['embedder']!r}; build it anew for {embedder.name!r}")
     before, old_files = old.symbols, old.table("files")
     diff = deltas.snapshot_diff(old_files, files, "file", "content_hash").persist()
     try:
@@ -156,11 +160,11 @@ def refresh(spark: SparkSession, files: DataFrame, registry: Registry, folder: s
         keep = lambda df: df.join(touched, "file", "left_anti")
         symbols = keep(before).unionByName(new_symbols.select(*before.columns))
         gone = before.join(touched, "file", "left_semi")
-        vecs = old.table("vectors").join(gone.select("id"), "id", "left_anti").unionByName(vectors.index_names(new_symbols))
+        vecs = old.table("vectors").join(gone.select("id"), "id", "left_anti").unionByName(vectors.index_names(new_symbols, embedder))
         removed = gone.count()
         added = new_symbols.count()
         all_files = keep(old_files).unionByName(new_files.select(*old_files.columns))
-        _write(spark, folder, all_files, symbols, keep(old.table("refs")).unionByName(new_refs), vecs, {"git_head": git_head})
+        _write(spark, folder, all_files, symbols, keep(old.table("refs")).unionByName(new_refs), vecs, {"git_head": git_head}, embedder)
         return Refreshed(n.get("A", 0) + n.get("M", 0), n.get("D", 0), added, removed)
     finally:
         diff.unpersist()

@@ -13,6 +13,7 @@ from symloom import cli, rpc
 from symloom.engine import Engine
 from symloom.extract.rules import Registry
 from symloom.extract.tables import PluginRegistry, RegexEdges
+from symloom.functions.embedders import HashEmbedder, create_embedder
 from symloom.plans import index as indexing
 from symloom.sources import config as conf
 from symloom.sources import walk as walking
@@ -113,6 +114,30 @@ def test_build_ask_and_refresh_equals_rebuild(project, spark):
     assert len([v for v in os.listdir(engine.folder) if v.startswith("v-")]) == 1
 
 
+def test_changes_views_and_embedders(project, spark):
+    run = lambda *a: subprocess.run(["git", "-C", str(project), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    engine = Engine(spark, project)
+    engine.index()
+    put(project, {"main.py": "x = 1\n", "lib/data.py": None, "added.py": "y = 2\n"})
+    os.utime(project / "main.py", (2e9, 2e9))
+    want = {("main.py", "M"), ("lib/data.py", "D"), ("added.py", "A")}
+    assert {tuple(r) for r in engine.changes().collect()} == want
+    assert {tuple(r) for r in engine.changes("git").collect()} == want
+    assert ("main.py", "M") in {tuple(r) for r in engine.changes("mtime").collect()}
+    assert "code_symbols" in engine.register_views() and spark.sql("SELECT count(*) FROM code_symbols").first()[0] == 5
+    with pytest.warns(UserWarning, match="hashed"):
+        assert create_embedder("/no/such/model").name == "hash"
+
+    class Other(HashEmbedder):
+        name = "other"
+
+    with pytest.raises(RuntimeError, match="build it anew"):
+        Engine(spark, project, embedder=Other()).index(incremental=True)
+
+
 def test_plugins_in_the_pipeline(project, spark):
     plugins = PluginRegistry()
     plugins.register(RegexEdges("doc", r"def (\w+)\(\):\n    return (\w+)", "returns"))
