@@ -15,6 +15,7 @@ of the passage.
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -34,11 +35,10 @@ SIZE_CLASSES = (13, 20, 28, 40)
 BROADCAST_VALUES = 1_000_000
 
 _TAG = re.compile(r"</?(?:p|br|b|i|em|strong|code|a|li|ul|ol|div|span|pre|h[1-6]|td|tr|th|table|tbody|thead|blockquote|q|u|s|sub|sup|tt|kbd|hr|mark|small)\b[^<>]{0,300}>", re.I)
-_ENTITY = re.compile(r"&(?:nbsp|amp|lt|gt|quot|apos|shy|ndash|mdash|hellip|zwnj|zwj|thinsp|[lr][sd]quo|#\d{1,7}|#x[0-9a-f]{1,6});", re.I)
+_ENTITY = re.compile(r"&(?:[A-Za-z]{2,31}\d{0,2}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
 _HIDDEN = re.compile(r"[\p{Cf}\p{Mn}\p{Me}]+")
 _BROKEN = re.compile(r"(?<=\p{L})[-‐‑]\s*\n[^\p{L}\p{N}\n]*(?=\p{L})")
 _WORD = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{N}]+")
-_ENTITY_TEXT = {"shy": "", "zwnj": "", "zwj": ""}
 
 
 def words(text: str | None) -> list[str]:
@@ -50,19 +50,11 @@ def words(text: str | None) -> list[str]:
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
-        text = _ENTITY.sub(lambda m: _entity(m.group()[1:-1]), text)
+        text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
     text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     return _WORD.findall(_BROKEN.sub("", text.replace("\r\n", "\n")).casefold())
 
 
-def _entity(name: str) -> str:
-    low = name.lower()
-    if low.startswith("#"):
-        code = int(low[2:], 16) if low[1:2] == "x" else int(low[1:])
-        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else " "
-    return _ENTITY_TEXT.get(low, " ")
-
-
 def shingle_hashes(chars: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of every run of ``k`` characters, by doubling."""
     base = np.uint64(0x9E3779B97F4A7C15)
