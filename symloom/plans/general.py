@@ -94,6 +94,17 @@ o AS (SELECT ref_table, ref_field, ref_seq, t,
       FROM r LEFT JOIN p USING (k) GROUP BY ref_table, ref_field, ref_seq, t, k
       HAVING count(CASE WHEN p.f <= t AND (p.d IS NULL OR p.d > t) THEN 1 END) = 0)
 """
+#: The way up from every child, to a depth that the trees of the test data do not reach; what is still on its way then runs in a circle.
+_UP = f"""
+WITH RECURSIVE k AS (SELECT src, dst, {_KIND} AS kind FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL),
+e AS (SELECT DISTINCT kind, CASE WHEN kind = 'defines' THEN dst ELSE src END AS id, CASE WHEN kind = 'defines' THEN src ELSE dst END AS parent FROM k WHERE kind IN ('defines', 'inherits')),
+up AS (SELECT kind, id, parent AS at, 1 AS d FROM e
+       UNION ALL SELECT up.kind, up.id, e.parent, up.d + 1 FROM up JOIN e ON e.kind = up.kind AND e.id = up.at WHERE up.d < 300),
+top AS (SELECT up.kind, up.id, max(CASE WHEN e.id IS NULL THEN up.at END) AS top, max(CASE WHEN e.id IS NULL THEN up.d END) AS depth,
+               min(CASE WHEN up.d > 200 THEN up.at END) AS low, bool_or(up.at = up.id) AS ring
+        FROM up LEFT JOIN e ON e.kind = up.kind AND e.id = up.at GROUP BY up.kind, up.id)
+"""
+
 ORACLE = {
     "p2_found": f"SELECT dst, kind FROM ({_PAIRS}) GROUP BY ALL HAVING count(*) >= 0.015 * (SELECT count(*) FROM edges)",
     "p2_pair_stats": f"SELECT dst, kind, count(*) AS n_edges, count(DISTINCT src) AS n_callers, min(indexed_at) AS first_seen, max(indexed_at) AS last_seen FROM ({_PAIRS}) GROUP BY dst, kind",
@@ -101,4 +112,6 @@ ORACLE = {
     "p2_day_percentiles": f"SELECT dst, kind, quantile_cont(day, 0.25) AS p25, quantile_cont(day, 0.5) AS p50, quantile_cont(day, 0.9) AS p90 FROM (SELECT dst, kind, date_diff('day', DATE '2024-01-01', indexed_at::DATE)::DOUBLE AS day FROM ({_PAIRS})) GROUP BY dst, kind",
     "p4_found": _ORPHANS + "SELECT ref_table, ref_field, ref_seq FROM o",
     "p4_report": _ORPHANS + "SELECT ref_table, ref_field, strftime(t, '%Y-%m-%d') AS day, status, count(*) AS n FROM o GROUP BY ALL",
+    "p6_found": _UP + "SELECT kind, id, coalesce(top, low) AS root FROM top",
+    "p6_descendants": _UP + "SELECT up.kind, up.at AS ancestor, up.id AS descendant, up.d AS distance FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL",
 }
