@@ -54,4 +54,19 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p5_found, p5_nearest, p7_ids, p8_found, p9_found, p9_segments)}
-ORACLE: dict[str, str] = {}
+#: Brute force over all pairs of usable vectors.
+_VECTORS = """
+WITH n AS (SELECT id, vec, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM vectors WHERE id IS NOT NULL),
+v AS (SELECT id, vec::DOUBLE[] AS v FROM n WHERE r = 1 AND len(vec) = 32 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AND list_aggregate(list_transform(vec, lambda x: abs(x)), 'max') > 0),
+c AS (SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a JOIN v b ON a.id <> b.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM c)
+SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM t WHERE r <= 10 AND s >= 0.93
+"""
+#: Every passage of thirteen words of every item sought in every document's letters and digits.
+_LEAKS = r"""
+WITH d AS (SELECT doc_id, regexp_replace(nfc_normalize(lower(text)), '[^\p{L}\p{N}]+', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(nfc_normalize(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
+p AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(list_slice(w, k, k + 12), ''))) AS p FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM d JOIN p ON contains(d.s, p.p)
+"""
+ORACLE = {"p5_found": _VECTORS, "p8_found": _LEAKS}
