@@ -20,6 +20,8 @@ import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symloom.plans.scratch import Scratch
+
 ATTRIBUTE_FILE = ".gitattributes"
 
 #: A path pattern is mined if at least so many files with a sign show it, in
@@ -327,7 +329,7 @@ def foreign_files(files: DataFrame, configs: DataFrame) -> DataFrame:
     Copies give one row; null or empty contents are judged by their path;
     a null file name is skipped; empty tables give no rows.
     """
-    scanned = scan_files(files.dropDuplicates(["file"]))
+    scanned = Scratch(files.sparkSession, "provenance").cut(scan_files(files.dropDuplicates(["file"]))).df
     names = scanned.select("file", F.explode("features").alias("f")).where("f.decides").select("file", F.col("f.name").alias("name"))
     by_path = names.join(mined_features(scanned, configs), "name").select("file").distinct().withColumn("pattern", F.lit(True))
     joined = scanned.select("file", "sign", "by_hand").join(by_path, "file", "left").join(_declared(files), "file", "left")
