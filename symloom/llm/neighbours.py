@@ -175,7 +175,8 @@ def _reach(units: DataFrame, queries: np.ndarray, index: Index, dim: int, k: int
     if ranks["count"].sum() < 50:
         return min(len(index.cells), 16)
     share = ranks["count"].cumsum() / ranks["count"].sum()
-    return int(ranks["rank"][share >= reach].iloc[0]) + 1
+    # a little farther than the sample asks for, as it is a sample
+    return min(len(index.cells), math.ceil(1.25 * (int(ranks["rank"][share >= reach].iloc[0]) + 1)) + 2)
 
 
 def nearest(
@@ -207,8 +208,12 @@ def nearest(
     empty = spark.createDataFrame([], f"id {kind}, neighbour {kind}, cosine double")
     if not n_reps:
         return empty
-    sample = reps.orderBy(F.xxhash64("unit"), "id").limit(fit_rows).select("unit").toPandas()["unit"]
+    # thinned by a hash first, so that no task sorts more than a few samples
+    thin = reps.where(F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < min(1.0, 1.2 * fit_rows / n_reps) * 1_000_000)
+    sample = thin.orderBy(F.xxhash64("unit"), "id").limit(fit_rows).select("unit").toPandas()["unit"]
     sample = np.frombuffer(b"".join(sample), "<f4").reshape(-1, dim).copy()
+    if not len(sample):  # a handful of vectors, none of which the hash took
+        sample = np.frombuffer(b"".join(reps.select("unit").limit(fit_rows).toPandas()["unit"]), "<f4").reshape(-1, dim).copy()
     index = fit(sample, n_reps)
     cells_of = _reach(reps, sample[:CALIBRATION_QUERIES], index, dim, k, min_cosine, reach)
     shared = spark.sparkContext.broadcast(index)
