@@ -4,8 +4,8 @@ Documents are cut into sentences of prose (code, dumps, identifiers, headings
 and quotation marks are not prose). A sparse multinomial logistic regression
 on TF-IDF weights of character n-grams is trained with the follow-the-
 regularised-leader rule and elastic-net penalties on a bounded sample of
-labelled sentences; sentences of documents whose label the first model
-contradicts are dropped and the model is trained again. A temperature fitted
+labelled sentences; documents whose label is contradicted by models that have
+not seen them are dropped before. A temperature fitted
 on held-out sentences turns scores into confidences. Inverse document
 frequencies are counted over all documents.
 """
@@ -34,6 +34,10 @@ FIT_SENTENCES, FIT_PER_DOCUMENT = 1_500, 12
 BUCKETS, LONGEST = 1 << 16, 4
 #: Learning rate, its offset, lasso and ridge weight, passes.
 ALPHA, BETA, LASSO, RIDGE, PASSES = 0.6, 1.0, 0.02, 0.05, 3
+#: Labelled documents are judged by models of the other parts, so many times.
+FOLDS, CLEANINGS = 4, 2
+#: Share of held-out labels that calibration takes as unsure.
+SMOOTH = 0.01
 #: A sentence below this confidence takes the language of its neighbours.
 UNSURE = 0.55
 
@@ -206,11 +210,19 @@ def train(texts: Sequence[str], labels: np.ndarray, n_classes: int, idf: np.ndar
 
 
 def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least held-out log loss."""
+    """The temperature of least held-out log loss, the labels being taken as
+    right in all but ``SMOOTH`` of the cases, lest a faultless sample makes
+    every confidence one."""
     if not len(scores):
         return 1.0
     grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(softmax(scores / t)[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
+    rows = np.arange(len(labels))
+
+    def loss_at(t: float) -> float:
+        log_p = np.log(np.maximum(softmax(scores / t), 1e-12))
+        return -((1 - SMOOTH) * log_p[rows, labels] + SMOOTH * log_p.mean(1)).mean()
+
+    loss = [loss_at(t) for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
@@ -222,26 +234,43 @@ def fit(docs: Sequence[int], texts: Sequence[str], labels: Sequence[str], idf: n
         return None
     y = np.array([languages.index(x) for x in labels])
     group = np.unique(np.asarray(docs), return_inverse=True)[1]
-    held = (group * 2654435761 % 2**32) / 2**32 < 0.2
-    if held.all() or not held.any():
+    part = (group * 2654435761 % 2**32) * FOLDS // 2**32
+    use = np.ones(len(y), bool)
+    for _ in range(CLEANINGS):
+        use = _trusted(texts, y, group, part, use, languages, idf)
+    held = part == 0 if len(set(part)) > 1 else np.zeros(len(y), bool)
+    if len(set(y[use & ~held])) < len(languages):
         held = np.zeros(len(y), bool)
+    model = Model(languages, idf, train(_subset(texts, use & ~held), y[use & ~held], len(languages), idf), 1.0)
+    check = use & held
+    scores = model.scores(_subset(texts, check)) if check.any() else np.zeros((0, len(languages)))
+    return model._replace(temperature=fit_temperature(scores, y[check]))
+
 
-    def subset(mask: np.ndarray) -> list[str]:
-        return [t for t, m in zip(texts, mask, strict=True) if m]
+def _subset(texts: Sequence[str], mask: np.ndarray) -> list[str]:
+    return [t for t, m in zip(texts, mask, strict=True) if m]
 
-    first = Model(languages, idf, train(subset(~held), y[~held], len(languages), idf, 1), 1.0)
-    p = np.concatenate([softmax(first.scores(texts[i : i + 2000])) for i in range(0, len(texts), 2000)])
+
+def _trusted(texts: Sequence[str], y: np.ndarray, group: np.ndarray, part: np.ndarray, use: np.ndarray, languages: tuple[str, ...], idf: np.ndarray) -> np.ndarray:
+    """Which sentences bear the label that models of the other parts give
+    their whole document and themselves. A model that had seen a wrong label
+    would repeat it, so each part is judged by the others."""
+    p = np.zeros((len(y), len(languages)))
+    for k in set(part.tolist()):
+        others = use & (part != k)
+        mine = part == k
+        if not others.any():
+            return use
+        model = Model(languages, idf, train(_subset(texts, others), y[others], len(languages), idf, 1), 1.0)
+        asked = _subset(texts, mine)
+        p[mine] = np.concatenate([softmax(model.scores(asked[i : i + 2000])) for i in range(0, len(asked), 2000)])
     mean = np.zeros((group.max() + 1, len(languages)))
     np.add.at(mean, group, p)
-    trusted = mean.argmax(1)[group] == y
-    sure = p.argmax(1) == y  # a foreign sentence in a document of another language
-    use = trusted & (sure | (p.max(1) < 0.5))
-    if len(set(y[use & ~held])) < len(set(y)):
-        use = np.ones(len(y), bool)
-    model = Model(languages, idf, train(subset(use & ~held), y[use & ~held], len(languages), idf), 1.0)
-    check = use & held
-    scores = model.scores(subset(check)) if check.any() else np.zeros((0, len(languages)))
-    return model._replace(temperature=fit_temperature(scores, y[check]))
+    out = (mean.argmax(1)[group] == y) & (p.argmax(1) == y)
+    # a language of which nothing would remain keeps its labels
+    for lang in set(y.tolist()) - set(y[out].tolist()):
+        out |= y == lang
+    return out
 
 
 class Run(NamedTuple):
@@ -322,8 +351,14 @@ def _idf(prepared: DataFrame) -> np.ndarray:
 
 def _sample(prepared: DataFrame, languages: Sequence[str], per_language: int) -> tuple[list, list[str], list[str]]:
     one = prepared.where(F.col("named").isin(list(languages))).select("doc", "named", F.posexplode(F.slice("sentences", 1, FIT_PER_DOCUMENT)).alias("n", "sentence"))
+    # thinned by a hash first, so that the window sees few rows of a language however many there are
+    n = {r.named: r["count"] for r in one.groupBy("named").count().collect()}
+    if not n:
+        return [], [], []
+    share = F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, 1.5 * per_language / c))])
+    thin = one.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < F.element_at(share, F.col("named")) * 1_000_000)
     order = Window.partitionBy("named").orderBy(F.xxhash64("doc"), "doc", "n")
-    rows = one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc", "named", "sentence").toPandas()
+    rows = thin.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc", "named", "sentence").toPandas()
     rows = rows.sort_values(["named", "doc", "sentence"], kind="stable")
     return rows["doc"].tolist(), rows["sentence"].tolist(), rows["named"].tolist()
 
