@@ -30,11 +30,11 @@ def _links(links: DataFrame) -> DataFrame:
 
 def _peel(core: Table, scratch: Scratch, peel_share: float, max_rounds: int) -> tuple[Table, list[Table]]:
     peeled: list[Table] = []
-    left = core.df.count()
+    left = core.seen["n"]
     while left and len(peeled) < max_rounds:
         inner = core.df.select("tree", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-        marked = scratch.cut(core.df.join(inner, ["tree", "node"], "left"))
-        kept = marked.df.where(F.col("inner").isNotNull()).count()
+        marked = scratch.cut(core.df.join(inner, ["tree", "node"], "left"), kept=F.count("inner"))
+        kept = marked.seen["kept"]
         if left - kept < peel_share * left:
             marked.drop()
             break
@@ -68,14 +68,17 @@ def _double(core, scratch: Scratch, with_path: bool) -> Table:
         "tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("dist"), F.col("inner").isNull().alias("done"),
         *([F.array("parent").alias("path")] if with_path else []),
     )
-    table, ends = scratch.cut(now), None
+    still_open = F.count_if(~F.col("done"))
+    table, last_open, last_ends = scratch.cut(now, open=still_open), None, None
     while True:
+        n_open, n_ends = table.seen["open"], None
         open_ = table.df.where(~F.col("done"))
-        n_open, n_ends = open_.agg(F.count(F.lit(1)), F.countDistinct("tree", "up")).first()
+        if n_open == last_open:
+            n_ends = open_.select("tree", "up").distinct().count()
         # no open node finished and no end dropped out: every end lies on a circle
-        if not n_open or ends == (n_open, n_ends):
+        if not n_open or (n_ends is not None and n_ends == last_ends):
             return table
-        ends = (n_open, n_ends)
+        last_open, last_ends = n_open, n_ends
         ahead = table.df.select(
             "tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"),
             *([F.col("path").alias("path2")] if with_path else []),
@@ -87,7 +90,7 @@ def _double(core, scratch: Scratch, with_path: bool) -> Table:
             F.col("done2").alias("done"),
             *([F.concat("path", "path2").alias("path")] if with_path else []),
         )
-        new = scratch.cut(table.df.where("done").unionByName(stepped))
+        new = scratch.cut(table.df.where("done").unionByName(stepped), open=still_open)
         table.drop()
         table = new
 
@@ -95,17 +98,18 @@ def _double(core, scratch: Scratch, with_path: bool) -> Table:
 def _circle_ids(doubled: Table, core, scratch: Scratch) -> DataFrame | None:
     """(tree, node, root) of every node on a circle, root the smallest id on it."""
     ends = doubled.df.where(~F.col("done")).select("tree", F.col("up").alias("node")).distinct()
-    ring = scratch.cut(ends.join(core.df, ["tree", "node"]).select("tree", "node", F.col("parent").alias("up"), F.col("node").alias("low")))
+    state = {"n": F.count(F.lit(1)), "sums": F.sum(F.xxhash64("tree", "node", "low").cast("decimal(38,0)"))}
+    ring = scratch.cut(ends.join(core.df, ["tree", "node"]).select("tree", "node", F.col("parent").alias("up"), F.col("node").alias("low")), **state)
     n = None
     while True:
-        count, sums = ring.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("tree", "node", "low").cast("decimal(38,0)"))).first()
-        if not count:
+        sums = ring.seen["sums"]
+        if not ring.seen["n"]:
             return None
         if sums == n:
             return ring.df.select("tree", "node", F.col("low").alias("root"))
         n = sums
         ahead = ring.df.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
-        new = scratch.cut(ring.df.join(ahead, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")))
+        new = scratch.cut(ring.df.join(ahead, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")), **state)
         ring.drop()
         ring = new
 
@@ -122,13 +126,17 @@ def hierarchy(links: DataFrame, with_path: bool = True, peel_share: float = PEEL
     several parents of a node the smallest is taken. No links, no rows.
     """
     scratch = Scratch(links.sparkSession, "forest")
-    core, peeled = _peel(scratch.cut(_links(links)), scratch, peel_share, max_rounds)
-    doubled = _double(core, scratch, with_path)
-    rings = _circle_ids(doubled, core, scratch)
+    core, peeled = _peel(scratch.cut(_links(links), n=F.count(F.lit(1))), scratch, peel_share, max_rounds)
+    doubled = _double(core, scratch, False)
+    ways = doubled
+    if with_path:  # only of nodes that reach a top, as a path around a circle would grow for ever
+        sound = core.df.join(doubled.df.where("done").select("tree", "node"), ["tree", "node"], "left_semi")
+        ways = _double(scratch.cut(sound), scratch, True)
+    rings = _circle_ids(doubled, core, scratch) if doubled.seen["open"] else None
     up = F.col("up")
     path = [F.concat(F.reverse("path"), F.array("node")).alias("path")] if with_path else []
-    no_path = [F.lit(None).cast(doubled.df.select(*path).schema[0].dataType).alias("path")] if with_path else []
-    done = doubled.df.where("done").join(core.df, ["tree", "node"])
+    no_path = [F.lit(None).cast(ways.df.select(*path).schema[0].dataType).alias("path")] if with_path else []
+    done = ways.df.where("done").join(core.df, ["tree", "node"])
     out = done.select("tree", "node", "parent", up.alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("in_circle"), *path)
     if rings is not None:
         ring_root = rings.select("tree", F.col("node").alias("up"), "root")
@@ -155,7 +163,11 @@ def hierarchy(links: DataFrame, with_path: bool = True, peel_share: float = PEEL
             *([F.when(is_top, F.array("parent", "node")).otherwise(F.concat("up_path", F.array("node"))).alias("path")] if with_path else []),
         )
         levels.append(scratch.cut(got))
-    return reduce(DataFrame.unionByName, [t.df for t in levels]) if levels else out
+    if not levels:
+        return out
+    for table in {*peeled, doubled, ways}:  # all that they told is in the levels
+        table.drop()
+    return reduce(DataFrame.unionByName, [t.df for t in levels])
 
 
 def descendants(paths: DataFrame) -> DataFrame:

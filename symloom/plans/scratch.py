@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,22 +37,32 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def cut(self, df: DataFrame) -> Table:
-        """Write ``df`` and return the written table."""
+    def cut(self, df: DataFrame, **seen: Column) -> Table:
+        """Write ``df`` and return the written table. ``seen`` are aggregates
+        that are taken while the rows are written, without a job of their own."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
+        schema, watch = df.schema, Observation() if seen else None
+        if watch:
+            df = df.observe(watch, *[c.alias(n) for n, c in seen.items()])
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return Table(self, path, df.schema)
+        if self._n == 1:
+            target, files = self._at(self.root)
+            files.deleteOnExit(target)  # what a lazy result still reads goes with the session
+        return Table(self, path, schema, watch.get if watch else {})
+
+    def _at(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = self._at(path)
+        files.delete(target, True)
 
 
 class Table:
-    def __init__(self, scratch: Scratch, path: str, schema) -> None:
-        self.scratch, self.path, self.schema = scratch, path, schema
+    def __init__(self, scratch: Scratch, path: str, schema, seen: dict) -> None:
+        self.scratch, self.path, self.schema, self.seen = scratch, path, schema, seen
 
     @property
     def df(self) -> DataFrame:
