@@ -14,6 +14,7 @@ from symloom.extract.tables import PluginRegistry
 from symloom.functions.embedders import Embedder, HashEmbedder
 from symloom.operators import deltas, fulltext, graph, vectors
 from symloom.plans import index as indexing
+from symloom.plans.deploy import ship
 from symloom.sources import config as conf
 from symloom.sources import walk as walking
 from symloom.streaming import watch as watching
@@ -25,6 +26,7 @@ class Engine:
     def __init__(self, spark: SparkSession, base: str | Path = ".", plugins: PluginRegistry | None = None, embedder: Embedder | None = None) -> None:
         self.spark, self.base, self.plugins = spark, Path(base), plugins or PluginRegistry()
         self.embedder = embedder or HashEmbedder()
+        ship(spark)
         self.config = conf.Config.load(self.base)
         self._index: indexing.Index | None = None
 
