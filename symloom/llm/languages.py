@@ -5,9 +5,9 @@ and quotation marks are not prose). A sparse multinomial logistic regression
 on TF-IDF weights of character n-grams is trained with the follow-the-
 regularised-leader rule and elastic-net penalties on a bounded sample of
 labelled sentences; documents whose label is contradicted by models that have
-not seen them are dropped before. A temperature fitted
-on held-out sentences turns scores into confidences. Inverse document
-frequencies are counted over all documents.
+not seen them are dropped before. A temperature fitted on held-out sentences
+turns scores into confidences. Inverse document frequencies are counted over
+all documents.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 Three kinds of signs are joined. *Declared*: attribute files of a repository
 mark paths as generated or vendored; globs are resolved per directory, the
 deeper file and the later line winning. *Evidence*: what a file's content
-shows (a leading notice of a tool or of its origin, minified or bundled code,
+shows (a notice of a tool or of its origin at the top or the end, minified or bundled code,
 nothing but data). *Mined*: path patterns (directory names before a package
 directory, double file extensions, ...) that declarations and evidence keep
 hitting in several projects are applied to all repositories.
@@ -30,8 +30,9 @@ MIN_FILES, MIN_PROJECTS, MIN_SHARE = 3, 2, 0.4
 #: A pattern that some project's configuration excludes needs less support.
 EXCLUDED_FILES, EXCLUDED_SHARE = 1, 0.25
 
-# Extensions before the last by which code generators name their output.
-TOOL_EXTENSIONS = ["pb", "g", "tab", "generated"]
+# Extensions before the last, and ends of the name before the first dot, by which code generators name their output.
+TOOL_EXTENSIONS = ["pb", "g", "tab", "generated", "gen", "autogen", "designer"]
+TOOL_ENDINGS = ["_pb2", "_pb2_grpc", "_pb", "_grpc", "_generated", "_autogen", "_autogenerated", "_gen"]
 
 # Wording by which tools and copies announce themselves, and by
 # which people say that a file is theirs.
@@ -66,6 +67,12 @@ ORIGIN_NOTICES = [
     r"\b(imported|taken|lifted|borrowed|vendored) (verbatim |unchanged |as is )?(from|out of) (the )?\S+.{0,60}\b(\d+\.\d+|upstream|sources|revision|release|repository|project)",
     r"\bkeep in (step|sync) with upstream\b",
     r"\bupstream (revision|release|version|commit)\b",
+    r"^\W*(snapshot|mirror|import|extract) of (the )?\S+.{0,40}\b(taken|made|at|from|as of)\b",
+    r"^\W*origin(al source)?: \S+ v?\d",
+    r"\b(embedded|external|foreign|included|vendored|bundled) (library|package|dependency|module|source|code)\b.{0,60}\b(excluded|exempt|not checked|not linted|style checks|linters?)\b",
+    r"^\W*\S+ v?\d+\.\d+(\.\d+)?\b.{0,10}(--|-|:).{0,20}\b(embedded|external|foreign|included|vendored|bundled)\b",
+    r"\breport (problems|bugs|issues|errors) to the \S+ (project|authors|maintainers|team)\b",
+    r"\bdo not send (changes|patches|fixes) here\b",
 ]
 HAND_NOTICES = [
     r"\b(written|maintained|edited|kept) by hand\b",
@@ -99,6 +106,20 @@ def leading_comments(text: str) -> str:
     return "\n".join(out)
 
 
+_COMMENT_LINE = re.compile(r"\s*(?://|/\*|\*|\#(?!\s*(?:include|define|ifn?def|if|endif|undef|pragma|error|else|elif)\b)|--|<!--|;)")
+
+
+def trailing_comments(text: str) -> str:
+    """The comments after the last line of code."""
+    out: list[str] = []
+    for line in reversed(text.split("\n")):
+        if line.strip():
+            if not _COMMENT_LINE.match(line):
+                break
+            out.append(line)
+    return "\n".join(reversed(out))
+
+
 def is_minified(code: str, strings_out: str) -> bool:
     """Code squeezed for a machine: hardly any blanks, short names, long lines."""
     names = _NAME.findall(strings_out)
@@ -130,10 +151,11 @@ def evidence(data: bytes | None) -> tuple[str | None, bool, list[str]]:
     holders = [h.lower() for h in _HOLDER.findall(lead)]
     if _HAND.search(lead):
         return None, True, holders
-    flat = re.sub(r"\s*\n[\s/*#]*", " ", lead)
-    if _TOOL.search(lead) or _TOOL.search(flat):
+    notices = f"{lead}\n{trailing_comments(text)}"
+    flat = re.sub(r"\s*\n[\s/*#]*", " ", notices)  # a notice may be wrapped
+    if _TOOL.search(notices) or _TOOL.search(flat):
         return "tool", False, holders
-    if _ORIGIN.search(lead) or _ORIGIN.search(flat):
+    if _ORIGIN.search(notices) or _ORIGIN.search(flat):
         return "origin", False, holders
     if _MODULE_TABLE.search(text):
         return "minified", False, holders
@@ -150,7 +172,7 @@ def evidence(data: bytes | None) -> tuple[str | None, bool, list[str]]:
 def path_features(path: str) -> list[tuple[str, bool]]:
     """Patterns of a path and whether one alone may decide.
 
-    ``tool-name`` a generator's extension; ``dir:x`` a directory named x; ``pkg:x`` a directory x followed by a
+    ``tool-name`` a generator's extension or ending; ``dir:x`` a directory named x; ``pkg:x`` a directory x followed by a
     package directory (``name`` or ``name-1.2.3``) that holds further ones;
     ``ext:x`` the extension before the last (``a.pb.go``); ``end:x`` a mark
     after a hyphen (``a-min.js``); ``hash`` a digest as extension. Output of
@@ -163,7 +185,8 @@ def path_features(path: str) -> list[tuple[str, bool]]:
     for depth in (1, 2):
         out += [(f"pkg:{'/'.join(dirs[i : i + depth])}", True) for i in range(len(dirs) - depth)]
     stem = base.split(".")
-    out += [("tool-name", True)] * any(mid.lower() in TOOL_EXTENSIONS for mid in stem[1:-1])
+    named = any(mid.lower() in TOOL_EXTENSIONS for mid in stem[1:-1]) or stem[0].lower().endswith(tuple(TOOL_ENDINGS))
+    out += [("tool-name", True)] * named
     for mid in stem[1:-1]:
         out.append(("hash", True) if re.fullmatch(r"[0-9a-f]{6,40}", mid) else (f"ext:{mid.lower()}", True))
     if m := re.search(r"[^-]-([a-z]+)$", stem[0].lower()):

@@ -112,8 +112,8 @@ def encode_documents(
 
     Null and empty texts give an empty list, blank ones are encoded as they
     are, strings that look like special tokens are ordinary text. One row per
-    input row, repeated rows included; a null key stays; a shuffle only where the table
-    comes in fewer parts than there are cores. Further
+    input row, repeated rows included; a null key stays. There is a shuffle
+    only where the table comes in fewer parts than there are cores. Further
     columns are ignored. The vocabulary's path must be readable by the driver;
     the model (about a megabyte) is broadcast.
     """

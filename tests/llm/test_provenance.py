@@ -17,6 +17,11 @@ FILES = [
     ("p/src/tool2.py", f("#!/usr/bin/env python\n# Copyright (c) the x authors.\n\n# @generated by q 1.2.3\nimport a\n"), "tool"),
     ("p/src/block.rs", f("/* Diese Datei wurde automatisch erzeugt (q 1.0), nicht von Hand ändern. */\r\nfn a() {}\r\n"), "tool"),
     ("p/src/copy.go", f("// Forked from abc at 0123abcd to have it in our tree.\npackage a\nfunc f() {}\n"), "origin"),
+    ("p/src/copy2.py", b"# Snapshot of abc taken at 8c8e876c85; do not send changes here but to its authors.\nx = load(1)\n", "origin"),
+    ("p/src/copy3.py", b"# abc 1.6.8 -- embedded library, excluded from our style checks\nx = load(1)\n", "origin"),
+    ("p/src/copy4.py", b"# Origin: abc 2.9.7, unchanged. Please report problems to the abc project.\nx = load(1)\n", "origin"),
+    ("p/src/end.c", b"int f(void) {\n    return 1;\n}\n\n// AUTO-GENERATED FILE -- run `x emit y` again instead of changing it\n\n// na\xefve\n", "tool"),
+    ("p/src/inner.c", b"int f(void) {\n    // Code generated by x from y. DO NOT EDIT.\n    return 1;\n}\n", None),
     ("p/src/string.js", f("const HEAD = 'Code generated by abc. DO NOT EDIT.';\n" + CODE), None),
     ("p/src/speaks.js", f("// Decides which vendor folders and minified bundles the scan leaves out.\n" + CODE), None),
     ("p/src/was.js", f("// Used to be auto-generated; maintained by hand since.\n" + CODE), None),
@@ -26,6 +31,9 @@ FILES = [
     ("p/src/data.go", f(DATA), "data"),
     ("p/src/words.go", f("package x\n\nvar known = []string{" + '"word", ' * 60 + "}\n\nfunc has(w string) bool {\n\treturn find(known, w)\n}\n"), None),
     ("p/src/api.pb.go", f("package a\n\nfunc getA() int {\n\treturn 1\n}\n"), "pattern"),
+    ("p/src/api_pb2.py", b"import a\n\n\ndef get_a():\n    return 1\n", "pattern"),
+    ("p/src/code_generator.py", b"import a\n\n\ndef get_a():\n    return 1\n", None),
+    ("p/src/gen_rules.py", b"import a\n\n\ndef get_a():\n    return 1\n", None),
     ("p/vendor/abc-1.2.3/x/a.js", f(CODE), "pattern"),
     ("q/vendor/abc/x/b.js", f("// Copyright (c) the Abc authors.\n" + CODE), "pattern"),
     ("q/lib/vendor/def/c.js", f(CODE), "pattern"),
