@@ -74,9 +74,14 @@ def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("tree").alias("kind"), unpack_id("ancestor").alias("ancestor"), unpack_id("descendant").alias("descendant"), "distance")
 
 
+def p6_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = forest.subtree_sizes(forest.hierarchy(_links(spark, sf)))
+    return sizes.select(F.col("tree").alias("kind"), unpack_id("ancestor").alias("id"), "n_descendants", "height")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pair_stats, p2_caller_mode, p2_day_percentiles, p4_found, p4_report, p6_found, p6_paths, p6_descendants)
+    for f in (p2_found, p2_pair_stats, p2_caller_mode, p2_day_percentiles, p4_found, p4_report, p6_found, p6_paths, p6_descendants, p6_sizes)
 }
 
 _KIND = "lower(trim(kind, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)))"
@@ -114,4 +119,5 @@ ORACLE = {
     "p4_report": _ORPHANS + "SELECT ref_table, ref_field, strftime(t, '%Y-%m-%d') AS day, status, count(*) AS n FROM o GROUP BY ALL",
     "p6_found": _UP + "SELECT kind, id, coalesce(top, low) AS root FROM top",
     "p6_descendants": _UP + "SELECT up.kind, up.at AS ancestor, up.id AS descendant, up.d AS distance FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL",
+    "p6_sizes": _UP + "SELECT up.kind, up.at AS id, count(*) AS n_descendants, max(up.d) AS height FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL GROUP BY up.kind, up.at",
 }
