@@ -190,8 +190,7 @@ def nearest(
     infinity. Equal cosines (to 9 decimals) go by the id. With ``min_cosine``
     less similar neighbours are left out, which shortens the search: the
     stored distance of a code from its vector bounds the error, and every code
-    in reach that may pass is reranked (of a dense cluster the best four short
-    lists). Null ids are skipped, repeated
+    in reach that may be among the ``k`` best is reranked, without a cap. Null ids are skipped, repeated
     rows count once, an empty table gives no rows, further columns are
     ignored. Fitting uses ``fit_rows`` rows at most; all rows are indexed.
     """
@@ -267,8 +266,6 @@ def nearest(
                         # the k-th best lower bound is a bar too, as only k are asked for
                         bar = min_cosine if len(s) <= k + 1 else max(min_cosine, np.partition(s - off, -k - 1)[-k - 1])
                         best = np.nonzero(s + off >= bar - 1e-4)[0]
-                        if len(best) > 4 * short_list:
-                            best = best[np.argpartition(-s[best], 4 * short_list - 1)[: 4 * short_list]]
                     elif len(s) > short_list:
                         best = np.argpartition(-s, short_list - 1)[:short_list]
                     else:
