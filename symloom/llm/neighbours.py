@@ -6,9 +6,11 @@ refined jointly, whose codes a beam search picks; the norm of the decoded
 vector and its distance from the true one are stored with the code. Every
 vector is a query in its nearest cell, and its code, a few bytes, is sent to
 the cells where it may be asked for. In a cell, lookup tables of the query
-against all codewords score all codes; the short list is reranked exactly. How
-many cells a code is sent to is calibrated against exact neighbours of a
-sample of queries.
+against all codewords score all codes; whatever the stored distance does not
+rule out is reranked exactly. Where no least cosine shortens the search, that
+distance is too wide to rule out much, so what the codebooks leave over goes
+along in one byte a dimension. How many cells a code is sent to is calibrated
+against exact neighbours of a sample of queries.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ FIT_ROWS, CALIBRATION_QUERIES = 20_000, 800
 CODEBOOKS, CODEWORDS, BEAM = 8, 256, 6
 #: Most queries and codes that meet in one group.
 QUERY_BLOCK, CODE_BLOCK = 4_096, 65_536
-#: Share of the sample's neighbours that must lie within reach, and the length of the short list.
-REACH, SHORT_LIST = 0.97, 60
+#: Share of the sample's neighbours that must lie within reach.
+REACH = 0.97
 
 
 class Index(NamedTuple):
@@ -111,6 +113,24 @@ def lookup_scores(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) ->
     return out
 
 
+def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    return sum(book.astype(np.float64)[codes[:, m]] for m, book in enumerate(books))
+
+
+def byte_rest(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the codes leave over of unit vectors as signed bytes, their scale,
+    and the distance that is left after both."""
+    rest = x - decode(codes, books)
+    scale = (np.maximum(np.abs(rest).max(1), 1e-12) / 127).astype(np.float32)
+    whole = np.clip(np.rint(rest / scale[:, None]), -127, 127).astype(np.int8)
+    return whole, scale, np.linalg.norm(rest - whole * scale[:, None].astype(np.float64), axis=1).astype(np.float32)
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def usable(vectors: DataFrame, dim: int, id_col: str = "id", vec: str = "vec", seq: str = "seq") -> DataFrame:
     """``id, unit``: of each id the vector of its row with the highest ``seq``,
     as ``dim`` float32 of a unit vector, if it is usable."""
@@ -181,16 +201,17 @@ def _reach(units: DataFrame, queries: np.ndarray, index: Index, dim: int, k: int
 
 def nearest(
     vectors: DataFrame, k: int = 10, dim: int = 32, min_cosine: float | None = None, id_col: str = "id", vec: str = "vec", seq: str = "seq",
-    fit_rows: int = FIT_ROWS, reach: float = REACH, short_list: int = SHORT_LIST,
+    fit_rows: int = FIT_ROWS, reach: float = REACH, short_list: int | None = None,
 ) -> DataFrame:
     """``id, neighbour, cosine``: of every id its ``k`` most similar other ids.
 
     Of an id the row with the highest ``seq`` counts; it is left out if its
     vector is null, not ``dim`` long, all zero, or holds a null, NaN or
     infinity. Equal cosines (to 9 decimals) go by the id. With ``min_cosine``
-    less similar neighbours are left out, which shortens the search: the
+    less similar neighbours are left out, which shortens the search. The
     stored distance of a code from its vector bounds the error, and every code
-    in reach that may be among the ``k`` best is reranked, without a cap. Null ids are skipped, repeated
+    in reach that may be among the ``k`` best is reranked, without a cap;
+    ``short_list``, once that cap, has no effect. Null ids are skipped, repeated
     rows count once, an empty table gives no rows, further columns are
     ignored. Fitting uses ``fit_rows`` rows at most; all rows are indexed.
     """
@@ -217,6 +238,12 @@ def nearest(
     cells_of = _reach(reps, sample[:CALIBRATION_QUERIES], index, dim, k, min_cosine, reach)
     shared = spark.sparkContext.broadcast(index)
 
+    def coded_rows(part: pa.RecordBatch, near: np.ndarray, codes: np.ndarray, norm: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(list(near), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(off)],
+            names=["id", "unit", "cells", "code", "norm", "off"],
+        )
+
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = shared.value
         for batch in batches:
@@ -225,13 +252,15 @@ def nearest(
                 x = _matrix(part.column(1), dim)
                 near = _nearest_cells(x, idx.cells, cells_of).astype(np.int32)
                 codes, decoded = encode_chunks(x, idx.books)
+                if min_cosine is None:
+                    rest, norm, off = byte_rest(_normed(x), codes, idx.books)
+                    codes = np.concatenate([codes, rest.view(np.uint8)], 1)
+                    yield coded_rows(part, near, codes, norm, off)
+                    continue
                 norm = np.maximum(np.linalg.norm(decoded, axis=1), 1e-6).astype(np.float32)
                 # cosine with the decoded direction is off by at most the distance to it
                 off = np.linalg.norm(x - decoded / norm[:, None], axis=1).astype(np.float32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(list(near), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(off)],
-                    names=["id", "unit", "cells", "code", "norm", "off"],
-                )
+                yield coded_rows(part, near, codes, norm, off)
 
     coded = scratch.cut(reps.mapInArrow(encode, f"id {kind}, unit binary, cells array<int>, code binary, norm float, off float"))
     own = coded.df.select(F.element_at("cells", 1).alias("cell"), "id", "unit")
@@ -250,14 +279,24 @@ def nearest(
         out_q, out_u, out_c = [], [], []
         if queries.num_rows and codes.num_rows:
             q = _matrix(queries["unit"], dim)
-            code = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(-1, CODEBOOKS)
+            code = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(codes.num_rows, -1)
             norm, off = codes["norm"].to_numpy(), codes["off"].to_numpy()
             ids, units_q = queries["id"].to_pylist(), queries["unit"].to_pylist()
             names = codes["id"].combine_chunks() if codes["id"].num_chunks != 1 else codes["id"].chunk(0)
             where = {v: n for n, v in enumerate(names.to_pylist())}
             step = max(1, min(256, 4_000_000 // len(code)))
+            if min_cosine is None:
+                q = _normed(q)
+                # scale and distance as wide as their rounding may ask for
+                off = off * (1 + 1e-6) + 1e-9
+                full = decode(code[:, :CODEBOOKS], idx.books) + code[:, CODEBOOKS:].view(np.int8) * norm[:, None].astype(np.float64)
+                square = (full * full).sum(1)
             for i in range(0, len(q), step):
-                score = lookup_scores(q[i : i + step], code, idx.books) / norm
+                if min_cosine is None:
+                    # minus the distance from the query: its error does not outgrow close neighbours as that of the cosine does
+                    score = -np.sqrt(np.maximum(1 + square - 2 * (q[i : i + step] @ full.T), 0))
+                else:
+                    score = lookup_scores(q[i : i + step], code, idx.books) / norm
                 for r, s in enumerate(score):
                     me = where.get(ids[i + r])
                     if me is not None:
@@ -266,8 +305,10 @@ def nearest(
                         # the k-th best lower bound is a bar too, as only k are asked for
                         bar = min_cosine if len(s) <= k + 1 else max(min_cosine, np.partition(s - off, -k - 1)[-k - 1])
                         best = np.nonzero(s + off >= bar - 1e-4)[0]
-                    elif len(s) > short_list:
-                        best = np.argpartition(-s, short_list - 1)[:short_list]
+                    elif len(s) > k + 1:
+                        bar = np.minimum(np.partition(s - off, -k)[-k], 0)
+                        # squares, as the cosines are compared to 9 decimals
+                        best = np.nonzero(np.minimum(s + off, 0) ** 2 <= bar * bar + 1e-8)[0]
                     else:
                         best = np.arange(len(s))
                     best = best[s[best] > -2.5]

@@ -82,6 +82,16 @@ def test_recall_with_cells_blocks_and_a_hot_class(spark, monkeypatch):
     assert found <= near and len(found) >= 0.99 * len(near)
 
 
+@pytest.mark.parametrize("spread", [0.1, 1e-3])
+def test_dense_cluster_of_near_copies(spark, spread):
+    # a single cell, so nothing but the choice of candidates can lose neighbours
+    v = clustered(1200)
+    rng = np.random.default_rng(6)
+    v |= {f"near{i:04d}": v["v00010"] + rng.normal(size=DIM).astype(np.float32) * np.float32(spread) for i in range(600)}
+    have, want = got(nn.nearest(frame(spark, v))), brute(v, 10)
+    assert [i for i in want if [j for j, _ in have[i]] != [j for j, _ in want[i]]] == []
+
+
 @pytest.mark.parametrize("table", ["/root/testdata/sf0.01/vectors.parquet"])
 def test_test_vectors(spark, table):
     df = spark.read.parquet(table)
