@@ -170,9 +170,19 @@ def hierarchy(links: DataFrame, with_path: bool = True, peel_share: float = PEEL
     return reduce(DataFrame.unionByName, [t.df for t in levels])
 
 
+def open_circles(links: DataFrame) -> DataFrame:
+    """The links without those of the nodes on a circle, so that in their
+    :func:`hierarchy` each such node is the top of what hangs below it and the
+    nodes there have a path that starts where their way enters the circle."""
+    on_circle = hierarchy(links, with_path=False).where("in_circle").select("tree", "node")
+    return links.join(on_circle, ["tree", "node"], "left_anti")
+
+
 def descendants(paths: DataFrame) -> DataFrame:
     """All pairs of ancestor and descendant with their distance, one row each
-    (a list per ancestor would not be bounded), from :func:`hierarchy`."""
+    (a list per ancestor would not be bounded), from :func:`hierarchy`. Nodes
+    without a path, those on or below a circle, are in no pair; with the
+    hierarchy of :func:`open_circles` those below one are."""
     at = F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("_at", "ancestor")
     return (
         paths.where(F.col("path").isNotNull())
@@ -182,6 +192,6 @@ def descendants(paths: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(paths: DataFrame) -> DataFrame:
-    """Number of descendants of every node that has one."""
+    """Number of descendants of every node that has one in :func:`descendants`."""
     return descendants(paths).groupBy("tree", "ancestor").agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
 

@@ -79,9 +79,24 @@ def p6_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.select(F.col("tree").alias("kind"), unpack_id("ancestor").alias("id"), "n_descendants", "height")
 
 
+def _all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.hierarchy(forest.open_circles(_links(spark, sf)))
+
+
+def p6_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """As p6_descendants, with the subtrees that hang below circles."""
+    pairs = forest.descendants(_all_pairs(spark, sf))
+    return pairs.select(F.col("tree").alias("kind"), unpack_id("ancestor").alias("ancestor"), unpack_id("descendant").alias("descendant"), "distance")
+
+
+def p6_all_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = forest.subtree_sizes(_all_pairs(spark, sf))
+    return sizes.select(F.col("tree").alias("kind"), unpack_id("ancestor").alias("id"), "n_descendants", "height")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pair_stats, p2_caller_mode, p2_day_percentiles, p4_found, p4_report, p6_found, p6_paths, p6_descendants, p6_sizes)
+    for f in (p2_found, p2_pair_stats, p2_caller_mode, p2_day_percentiles, p4_found, p4_report, p6_found, p6_paths, p6_descendants, p6_sizes, p6_all_descendants, p6_all_sizes)
 }
 
 _KIND = "lower(trim(kind, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)))"
@@ -109,6 +124,12 @@ top AS (SELECT up.kind, up.id, max(CASE WHEN e.id IS NULL THEN up.at END) AS top
                min(CASE WHEN up.d > 200 THEN up.at END) AS low, bool_or(up.at = up.id) AS ring
         FROM up LEFT JOIN e ON e.kind = up.kind AND e.id = up.at GROUP BY up.kind, up.id)
 """
+#: Up to the circle node where the way enters its circle; nodes on a circle have no ancestors.
+_ALL_PAIRS = _UP + """,
+ent AS (SELECT up.kind, up.id, min(up.d) AS d FROM up JOIN top ON top.kind = up.kind AND top.id = up.at AND top.ring GROUP BY up.kind, up.id),
+pairs AS (SELECT up.kind, up.at AS ancestor, up.id AS descendant, up.d AS distance FROM up JOIN top ON top.kind = up.kind AND top.id = up.id
+          LEFT JOIN ent ON ent.kind = up.kind AND ent.id = up.id WHERE NOT top.ring AND (ent.d IS NULL OR up.d <= ent.d))
+"""
 
 ORACLE = {
     "p2_found": f"SELECT dst, kind FROM ({_PAIRS}) GROUP BY ALL HAVING count(*) >= 0.015 * (SELECT count(*) FROM edges)",
@@ -120,4 +141,6 @@ ORACLE = {
     "p6_found": _UP + "SELECT kind, id, coalesce(top, low) AS root FROM top",
     "p6_descendants": _UP + "SELECT up.kind, up.at AS ancestor, up.id AS descendant, up.d AS distance FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL",
     "p6_sizes": _UP + "SELECT up.kind, up.at AS id, count(*) AS n_descendants, max(up.d) AS height FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL GROUP BY up.kind, up.at",
+    "p6_all_descendants": _ALL_PAIRS + "SELECT * FROM pairs",
+    "p6_all_sizes": _ALL_PAIRS + "SELECT kind, ancestor AS id, count(*) AS n_descendants, max(distance) AS height FROM pairs GROUP BY kind, ancestor",
 }

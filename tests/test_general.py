@@ -164,3 +164,14 @@ def test_hierarchy_brute_force(spark, links, peel_share):
     assert got == want
     pairs = Counter((r.tree, r.ancestor, r.descendant, r.distance) for r in forest.descendants(out).collect())
     assert pairs == Counter((t, a, n, len(v[3]) - 1 - i) for (t, n), v in want.items() if v[3] for i, a in enumerate(v[3][:-1]))
+
+
+def test_subtrees_below_a_circle(spark):
+    links = [("a", f"c{i}", f"c{(i + 1) % 3}") for i in range(3)] + [("a", "t0", "c1"), ("a", "t1", "t0"), ("a", "u", "t0"), ("a", "p", "p"), ("a", "q", "p"), ("a", "x", "top"), ("b", "c0", "top")]
+    df = spark.createDataFrame(links, "tree string, node string, parent string")
+    paths = forest.hierarchy(forest.open_circles(df))
+    pairs = sorted((r.tree, r.ancestor, r.descendant, r.distance) for r in forest.descendants(paths).collect())
+    below = [("a", "c1", "t0", 1), ("a", "c1", "t1", 2), ("a", "c1", "u", 2), ("a", "p", "q", 1), ("a", "t0", "t1", 1), ("a", "t0", "u", 1)]
+    assert pairs == sorted([*below, ("a", "top", "x", 1), ("b", "top", "c0", 1)])
+    sizes = {(r.tree, r.ancestor): (r.n_descendants, r.height) for r in forest.subtree_sizes(paths).collect()}
+    assert sizes == {("a", "c1"): (3, 2), ("a", "p"): (1, 1), ("a", "t0"): (2, 1), ("a", "top"): (1, 1), ("b", "top"): (1, 1)}
