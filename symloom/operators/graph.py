@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.plans.scratch import Scratch
@@ -42,14 +42,15 @@ def find(symbols: DataFrame, needle: str = "", kind: str | None = None, lang: st
     return symbols.where(hit)
 
 
-def resolve_names(symbols: DataFrame, names: DataFrame) -> DataFrame:
+def resolve_names(symbols: DataFrame, names: DataFrame, contained: bool = True) -> DataFrame:
     """``asked, id``: for each distinct name the symbol that it most likely
     means: of those whose name contains it, one of the very name, else one that
     begins with it, else the shortest name, else the first by ``ord`` and id.
 
-    Equality and beginnings are met by equi-joins on all prefixes of a name;
-    only names that neither finds are compared with every symbol, and those
-    are few: the distinct names that nothing is called.
+    Equality and beginnings are met by equi-joins on all prefixes of a name.
+    What neither finds is compared with the symbols that hold its rarest three
+    characters in a row (the whole of a shorter one); without ``contained`` it
+    is left out.
     """
     asked = names.select(F.col("name").alias("asked")).where("asked <> ''").distinct()
     first = F.min(F.struct("ord", "id"))
@@ -60,7 +61,21 @@ def resolve_names(symbols: DataFrame, names: DataFrame) -> DataFrame:
     prefixes = low.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("low")), lambda n: F.substring(F.col("low"), F.lit(1), n))))
     best = F.min_by("first", F.struct(F.length("name"), "first"))
     begin = rest.join(prefixes, F.lower("asked") == F.col("prefix")).groupBy("asked").agg(best.alias("first")).select("asked", F.col("first.id").alias("id"))
-    return same.unionByName(begin)
+    if not contained:
+        return same.unionByName(begin)
+    grams = low.where("low <> ''").withColumn("gram", F.explode(F.array_distinct(F.concat(*[_grams("low", n, F.length("low")) for n in (1, 2, 3)]))))
+    parts = rest.join(begin, "asked", "left_anti").withColumn("gram", F.explode(_grams(F.lower("asked"), 3, F.greatest(F.length(F.lower("asked")) - 2, F.lit(1)))))
+    held = parts.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
+    rarest = held.groupBy("asked").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    hits = rarest.join(grams, "gram").where(F.col("low").contains(F.lower("asked")))
+    inside = hits.groupBy("asked").agg(best.alias("first")).select("asked", F.col("first.id").alias("id"))
+    return same.unionByName(begin).unionByName(inside)
+
+
+def _grams(text: str | Column, n: int, last: Column) -> Column:
+    """The ``n`` characters, at the end fewer, from each place up to ``last``."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(text, at, F.lit(n)))
 
 
 def resolve_name(symbols: DataFrame, name: str) -> str | None:

@@ -68,7 +68,7 @@ def callers_newest_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "refs").select(F.substring(clean_name("to_name"), 1, 8).alias("name"))
-    return graph.resolve_names(_current(spark, sf), names)
+    return graph.resolve_names(_current(spark, sf), names, contained=False)
 
 
 def insert_edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -108,6 +108,14 @@ def test_lookups_and_edges(spark, small):
     assert "main (function) a.rs [CENTER]" in text and "main --[calls]--> ?" in text and text.startswith("3 nodes, 3 edges")
 
 
+def test_names_inside_names_resolve_as_one_by_one(spark, small):
+    symbols, _ = small
+    names = ["Process", "proc", "elp", "ELPER", "ss", "p", "rocx", "ocess", "zzz"]
+    got = {r.asked: r.id for r in graph.resolve_names(symbols, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {"Process": "4", "proc": "2", "elp": "3", "ELPER": "3", "ss": "2", "p": "2", "ocess": "2"}
+    assert got == {n: i for n in names if (i := graph.resolve_name(symbols, n))}
+
+
 def test_resolution_against_plain_python(spark):
     rng = random.Random(4)
     symbols = [(str(i), rng.choice(["get", "Get", "run", None]), "f", "l", rng.choice(["a", "b", None]), rng.randrange(5)) for i in range(30)]
