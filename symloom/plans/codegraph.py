@@ -71,6 +71,11 @@ def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
     return graph.resolve_names(_current(spark, sf), names, contained=False)
 
 
+def resolve_whole_names(spark: SparkSession, sf: str) -> DataFrame:
+    """As resolve_names, of whole names and with those only contained in one."""
+    return graph.resolve_names(_current(spark, sf), table(spark, sf, "refs").select(clean_name("to_name").alias("name")))
+
+
 def insert_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.insert_edges(_edges(spark, sf), _current(spark, sf))
 
@@ -264,7 +269,7 @@ def supply_callers(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        current_symbols, get_symbol, find_substring, find_exact_ci, find_filtered, callers, callees, callers_newest_kind, resolve_names, insert_edges,
+        current_symbols, get_symbol, find_substring, find_exact_ci, find_filtered, callers, callees, callers_newest_kind, resolve_names, resolve_whole_names, insert_edges,
         remove_files_symbols, remove_files_edges, index_status, resolve_refs, neighborhood_d2, neighborhood_capped, member_owner, fqname, kind_forms,
         symbol_ids, collapse_ws, file_extensions, regex_edges, term_stats, postings, bm25_all, bm25_topk, bm25_field, phrase, boolean_search, symbol_search,
         vector_topk, vector_search, hash_embed, snapshot_diff, mtime_filter, debounce_sessions, supply_callers,
@@ -308,6 +313,10 @@ ORACLE = {
         x AS (SELECT asked, id, row_number() OVER (PARTITION BY asked ORDER BY name = asked DESC, CASE WHEN name = asked THEN 0 ELSE length(name) END, ord, id) AS r
               FROM a JOIN cur ON name = asked OR starts_with(lower(name), lower(asked)) WHERE asked <> '')
         SELECT asked, id FROM x WHERE r = 1""",
+    "resolve_whole_names": f"""WITH {_CUR}, a AS (SELECT DISTINCT {_NAME.format('to_name')} AS asked FROM refs),
+        x AS (SELECT asked, id, row_number() OVER (PARTITION BY asked ORDER BY name = asked DESC, starts_with(lower(name), lower(asked)) DESC, length(name), ord, id) AS r
+              FROM a JOIN cur ON contains(lower(name), lower(asked)) WHERE asked <> '')
+        SELECT asked, id FROM x WHERE r = 1""",
     "insert_edges": f"WITH {_CUR}, {_E} SELECT src, dst, kind, seq FROM e WHERE src IN (SELECT id FROM cur) AND dst IN (SELECT id FROM cur)",
     "remove_files_symbols": f"WITH {_CUR}, {_GONE} SELECT id, file FROM cur WHERE id NOT IN (SELECT id FROM gone)",
     "remove_files_edges": f"WITH {_CUR}, {_GONE}, {_E} SELECT src, dst, kind, seq FROM e WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.id = e.src) AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.id = e.dst)",
