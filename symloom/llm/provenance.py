@@ -259,7 +259,7 @@ def parse_attributes(path: str, data: bytes | None) -> list[tuple[str, str, int,
             name, _, value = word.lstrip("-!").partition("=")
             if name in ("linguist-generated", "linguist-vendored"):
                 marked = not word.startswith(("-", "!")) and value.lower() != "false"
-                out.append((base, words[0], base.count("/") + 1, n, marked))
+                out.append((base, words[0], base.count("/") + bool(base), n, marked))
     return out
 
 
@@ -333,8 +333,8 @@ def _declared(files: DataFrame) -> DataFrame:
         .select("file", "content").distinct()
         .select(F.explode(parse("file", F.col("content").cast("binary"))).alias("r")).select("r.*")
     )
-    # each file meets only the rules of the directories above it
-    above = files.select("file").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.size(F.split("file", "/")) - 1, F.lit(1)))))
+    # each file meets only the rules of the directories above it, from the top ("") on
+    above = files.select("file").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.size(F.split("file", "/")) - 1)))
     above = above.withColumn("base", F.array_join(F.slice(F.split("file", "/"), F.lit(1), F.col("n")), "/"))
     met = above.join(rules, "base").where(matches("file", "base", "pattern"))
     return met.groupBy("file").agg(F.max_by("marked", F.struct("depth", "line")).alias("marked"))

@@ -67,6 +67,14 @@ def test_attribute_files_and_precedence(spark):
     assert run(spark, files) == {"r/a.js": "declared", "r/sub/b.js": "declared", "r/lib/x/y.c": "declared"}
 
 
+def test_attribute_file_at_the_top(spark):
+    files = [
+        (".gitattributes", f("# marks\n*.js linguist-generated\n/lib/** linguist-vendored\n")), ("r/.gitattributes", f("own.js -linguist-generated\n")),
+        ("a.js", f(CODE)), ("r/b.js", f(CODE)), ("r/own.js", f(CODE)), ("lib/x/y.c", b"int a;"), ("r/lib/y.c", b"int a;"),
+    ]
+    assert run(spark, files) == {"a.js": "declared", "r/b.js": "declared", "lib/x/y.c": "declared"}
+
+
 def test_globs():
     def hit(pattern, path, base=""):
         found = pv.glob_regex(pattern, base)
