@@ -192,8 +192,8 @@ def _reach(units: DataFrame, queries: np.ndarray, index: Index, dim: int, k: int
     found = units.select("unit").mapInArrow(run, "q int, cos float, rank int")
     top = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "rank"))).where(F.col("n") <= k)
     ranks = top.groupBy("rank").count().toPandas().sort_values("rank")  # at most one row per cell
-    if ranks["count"].sum() < 50:
-        return min(len(index.cells), 16)
+    if ranks["count"].sum() < 50:  # too few to tell how far is far enough
+        return len(index.cells)
     share = ranks["count"].cumsum() / ranks["count"].sum()
     # a little farther than the sample asks for, as it is a sample
     return min(len(index.cells), math.ceil(1.25 * (int(ranks["rank"][share >= reach].iloc[0]) + 1)) + 2)

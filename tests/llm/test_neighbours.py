@@ -92,6 +92,14 @@ def test_dense_cluster_of_near_copies(spark, spread):
     assert [i for i in want if [j for j, _ in have[i]] != [j for j, _ in want[i]]] == []
 
 
+def test_codes_go_to_all_cells_if_the_sample_has_too_few_neighbours(spark):
+    x = np.random.default_rng(7).normal(size=(300, DIM)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(str(i), bytearray(r.tobytes())) for i, r in enumerate(x)], "id string, unit binary")
+    index = nn.Index(x[:40], np.zeros((nn.CODEBOOKS, 1, DIM), np.float32))
+    assert nn._reach(units, x[:100], index, DIM, 10, 0.93, 0.998) == 40
+
+
 @pytest.mark.parametrize("table", ["/root/testdata/sf0.01/vectors.parquet"])
 def test_test_vectors(spark, table):
     df = spark.read.parquet(table)
