@@ -7,17 +7,21 @@ is where a MinHash of whole texts fails; so both are cut by size: passages
 fall into size classes, and for a class whose passages have at least ``L``
 characters documents are sketched by the MinHash of every stretch of ``L``
 characters (its smallest hash of character shingles). Whatever holds a passage
-holds every stretch of it and hence all their MinHashes: containment becomes
-equality of a sketch value, and no passage is lost. Each passage is filed
-under the rarest of its sketch values; hits are verified by exact containment
-of the passage.
+holds every stretch of it and hence all their MinHashes: a document is a
+candidate if it contains the sketch of the passage (and its first and last
+shingle, which differ where only one word does), and no passage is lost.
+Each passage is filed under the rarest of its sketch values. A filter of
+bounded size tells the scan of the corpus which values are filed, so that
+only documents that hold one, with their texts, ever leave it. Candidates are
+verified by exact containment of the word shingle.
 """
 
 from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +29,22 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.plans.scratch import Scratch
 from symloom.plans.tables import spread
 
 MIN_WORDS = 13
 #: Shortest passage of each size class, in characters; a passage has at least
-#: as many characters as words.
+#: as many characters as words, which is the first class.
 SIZE_CLASSES = (13, 20, 28, 40)
-#: Up to so many sketch values of items (8 bytes each) are broadcast; more are joined by a shuffle.
+#: Bits of the filters of sketch values: so many a value, and the least and most.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 12, 1 << 27
+#: Where the bits of a value are taken from that say where it is in a filter.
+SHIFTS = (0, 27)
+#: Passages whose sketches together have at most so many values (8 bytes each)
+#: are broadcast to the candidates; more are joined by a shuffle.
 BROADCAST_VALUES = 1_000_000
+#: Characters that are sketched at once.
+CHUNK = 400_000
 
 _TAG = re.compile(r"</?(?:p|br|b|i|em|strong|code|a|li|ul|ol|div|span|pre|h[1-6]|td|tr|th|table|tbody|thead|blockquote|q|u|s|sub|sup|tt|kbd|hr|mark|small)\b[^<>]{0,300}>", re.I)
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,31}\d{0,2}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
@@ -41,18 +53,38 @@ _BROKEN = re.compile(r"(?<=\p{L})[-‐‑]\s*\n[^\p{L}\p{N}\n]*(?=\p{L})")
 _WORD = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{N}]+")
 
 
+def fold(text: str) -> str:
+    """The text without case, markup and entities."""
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
 def words(text: str | None) -> list[str]:
     """The words that are compared: letters and digits without case. Markup,
     entities and invisible characters are dropped, broken words rejoined;
     where a script has no blanks every character is a word."""
     if not text:
         return []
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    if "&" in text:
-        text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    return _WORD.findall(_BROKEN.sub("", text.replace("\r\n", "\n")).casefold())
+    return _WORD.findall(_BROKEN.sub("", _HIDDEN.sub("", fold(text)).replace("\r\n", "\n")))
+
+
+@lru_cache
+def compared() -> np.ndarray:
+    """For every code point whether it is part of words."""
+    points = np.fromiter((_WORD.match(chr(c)) is not None for c in range(0x30000)), bool, 0x30000)
+    return np.concatenate([points, np.fromiter((_WORD.match(chr(c)) is not None for c in range(0x30000, 0x34000)), bool, 0x4000), np.zeros(0x110000 - 0x34000, bool)])
+
+
+def streams(texts: Sequence[str | None], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters and digits of several texts on end, and where each ends:
+    what :func:`words` gives, joined, for each of them."""
+    plain = [fold(t) if t else "" for t in texts]
+    chars = np.frombuffer("".join(plain).encode("utf-32-le", "replace"), np.uint32)
+    kept = keep[chars]
+    return chars[kept], np.concatenate([[0], np.cumsum(kept)])[np.cumsum([len(p) for p in plain])]
 
 
 def shingle_hashes(chars: np.ndarray, k: int) -> np.ndarray:
@@ -88,28 +120,71 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def sketch(stream: str, least: int) -> np.ndarray:
-    """MinHashes of all stretches of ``least`` characters, one per stretch."""
-    if len(stream) < least:
-        return np.empty(0, np.int64)
-    chars = np.frombuffer(stream.encode("utf-32-le", "replace"), np.uint32)
+def sketches(chars: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """MinHashes of all stretches of ``least`` characters of several texts on
+    end, with the number of the text; equal neighbours are given once."""
+    if len(chars) < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     k = (least + 1) // 2
     minima = window_minima(shingle_hashes(chars, k), least - k + 1)
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(minima)]
+    new = np.arange(len(minima)) + least <= ends[text]
+    new[1:] &= (minima[1:] != minima[:-1]) | (text[1:] != text[:-1]) | ~new[:-1]
+    with np.errstate(over="ignore"):
+        return text[new], (minima[new] + np.uint64(least)).view(np.int64)
+
+
+def sketch(stream: str, least: int) -> np.ndarray:
+    """MinHashes of all stretches of ``least`` characters of one text."""
+    chars = np.frombuffer(stream.encode("utf-32-le", "replace"), np.uint32)
+    return sketches(chars, np.array([len(chars)]), least)[1]
+
+
+def shingles(chars: np.ndarray, least: int) -> np.ndarray:
+    """Every value that a sketch of one text may have: those of all shingles."""
     with np.errstate(over="ignore"):
-        return (minima + np.uint64(least)).view(np.int64)
+        return (shingle_hashes(chars, (least + 1) // 2) + np.uint64(least)).view(np.int64)
+
 
+def size_classes(min_words: int) -> list[int]:
+    return sorted({min_words, *(c for c in SIZE_CLASSES if c > min_words)})
 
-def size_class(length: int) -> int:
-    return max(c for c in SIZE_CLASSES if c <= length)
 
+def size_class(length: int, min_words: int = MIN_WORDS) -> int:
+    return max(c for c in size_classes(min_words) if c <= length)
 
-def passage_values(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[int]]]:
-    """``(first word, size class, sketch values)`` of every passage of a text."""
+
+def passage_values(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """``(first word, size class, sketch values, first and last shingle)`` of
+    every passage of a text."""
     w = words(text)
     for at in range(len(w) - min_words + 1):
         passage = "".join(w[at : at + min_words])
-        least = size_class(len(passage))
-        yield at, least, np.unique(sketch(passage, least)).tolist()
+        least = size_class(len(passage), min_words)
+        every = shingles(np.frombuffer(passage.encode("utf-32-le", "replace"), np.uint32), least)
+        yield at, least, np.unique(sketch(passage, least)).tolist(), [int(every[0]), int(every[-1])]
+
+
+def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a filter may hold: all that it does, and few others."""
+    out = np.ones(len(values), bool)
+    for shift in SHIFTS:
+        slot = (values.view(np.uint64) >> np.uint64(shift)) & np.uint64(len(bits) * 64 - 1)
+        out &= (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def make_filter(values: DataFrame, n: int) -> np.ndarray:
+    """Two bits for each ``value``, by its lower bits, as the highest of a
+    minimum are mostly zeros; at most 16 MB whatever ``n`` is. The executors
+    put the words of the filter together."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_BITS * n - 1).bit_length())).bit_length() - 1
+    slots = F.explode(F.array(*[F.shiftrightunsigned("value", s).bitwiseAND(F.lit((1 << width) - 1)) for s in SHIFTS]))
+    word = values.select(slots.alias("slot")).distinct().groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits"))
+    found = word.toArrow()
+    out = np.zeros(1 << (width - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def held(doc_words: list[str], item_words: list[str], min_words: int = MIN_WORDS) -> bool:
@@ -130,26 +205,31 @@ def held(doc_words: list[str], item_words: list[str], min_words: int = MIN_WORDS
     return False
 
 
-def _item_index(items: DataFrame, item: str, text: str, min_words: int) -> DataFrame:
-    """``value, size, item``: every passage under the rarest of its values."""
-    schema = f"item {items.schema[item].dataType.simpleString()}, at int, size int, value bigint"
+def _item_index(items: DataFrame, item: str, text: str, min_words: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``value, size, sketch, item``: every passage under the rarest of its
+    values, and how many values there are."""
+    schema = f"item {items.schema[item].dataType.simpleString()}, size int, heads array<bigint>, sketch array<bigint>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, at, size, v) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for at, size, vs in passage_values(t, min_words) for v in vs]
+            rows = [(i, size, v, sorted({*v, *ends})) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, size, v, ends in passage_values(t, min_words)]
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["item", "at", "size", "value"])
-
-    values = items.select(item, text).where(F.col(item).isNotNull() & F.col(text).isNotNull()).mapInArrow(run, schema)
-    rarity = values.select("value", "item").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_items"))
-    rarest = F.min(F.struct("n_items", "value", "size")).alias("best")
-    return values.join(rarity, "value").groupBy("item", "at").agg(rarest).select(F.col("best.value").alias("value"), F.col("best.size").alias("size"), "item").distinct()
-
-
-def leaked_items(
-    docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", min_words: int = MIN_WORDS,
-    broadcast_values: int = BROADCAST_VALUES,
-) -> DataFrame:
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], many), pa.array(cols[3], many)], names=["item", "size", "heads", "sketch"]
+            )
+
+    known = items.select(item, text).where(F.col(item).isNotNull() & F.col(text).isNotNull())
+    passages = scratch.cut(known.mapInArrow(run, schema)).df
+    values = passages.select("item", "size", "sketch", F.explode("heads").alias("value"))
+    rarity = passages.select(F.explode("heads").alias("value"), "item").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_items"))
+    rarest = F.min(F.struct("n_items", "value")).alias("best")
+    filed = values.join(rarity, "value").groupBy("item", "size", "sketch").agg(rarest).select(F.col("best.value").alias("value"), "size", "sketch", "item")
+    table = scratch.cut(filed, n=F.sum(F.size("sketch")))
+    return table.df, table.seen["n"] or 0
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", min_words: int = MIN_WORDS, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """Every pair of a document and an item of which it holds a passage.
 
     Columns ``doc`` and ``item`` (under their own names), one row a pair.
@@ -157,47 +237,50 @@ def leaked_items(
     ``min_words`` words have no passage, null ids are skipped. Whole texts of
     any length are read. Repeated rows give one pair; copies of a text under
     several ids give a pair each; empty tables give none; further columns are
-    ignored. Item texts are never collected; their sketch values are broadcast
-    up to ``broadcast_values``, beyond that both sides are shuffled.
+    ignored. Neither texts nor sketch values are collected: the driver sees
+    two filters of bounded size, and the plan is the same for any number of
+    items. The corpus is read once and not shuffled; only candidates are.
     """
     spark = docs.sparkSession
-    index = _item_index(items, item, text, min_words).persist()
-    try:
-        n_values = index.count()
-        sizes = sorted(r[0] for r in index.select("size").distinct().collect())
-        known = {}
-        if n_values <= broadcast_values:
-            pdf = index.select("size", "value").distinct().toPandas()
-            known = {s: np.sort(pdf["value"][pdf["size"] == s].to_numpy(np.int64)) for s in sizes}
-        kept = spark.createDataFrame(index.toPandas(), index.schema) if known else None
-    finally:
-        index.unpersist()
-    wanted = spark.sparkContext.broadcast(known)
-    doc_type = docs.schema[doc].dataType.simpleString()
+    scratch = Scratch(spark, "leakage")
+    filed, n_values = _item_index(items, item, text, min_words, scratch)
+    doc_type, item_type = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    sizes = sorted(r[0] for r in filed.select("size").distinct().collect())  # at most five
+    if not sizes:
+        return spark.createDataFrame([], f"`{doc}` {doc_type}, `{item}` {item_type}")
+    heads = make_filter(filed.select("value"), n_values)
+    wanted = spark.sparkContext.broadcast((heads, make_filter(filed.select(F.explode("sketch").alias("value")), n_values), compared()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, known, keep = wanted.value
         for batch in batches:
-            rows, values = [], []
-            for n, t in enumerate(batch.column(1).to_pylist()):
-                stream = "".join(words(t))
-                for size in sizes:
-                    found = np.unique(sketch(stream, size))
-                    if wanted.value and len(found):
-                        have = wanted.value[size]
-                        at = np.minimum(np.searchsorted(have, found), len(have) - 1)
-                        found = found[have[at] == found]
-                    rows += [n] * len(found)
-                    values.append(found)
-            flat = np.concatenate(values) if values else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(flat, pa.int64())], names=["doc", "value"])
-
-    whole = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    hits = spread(whole, "doc").mapInArrow(run, f"doc {doc_type}, value bigint")
-    filed = F.broadcast(kept) if kept is not None else _item_index(items, item, text, min_words)
-    pairs = hits.join(filed.select("value", "item"), "value").select("doc", "item").distinct()
-    item_texts = items.select(F.col(item).alias("item"), F.col(text).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL")
-    open_pairs = pairs.join(whole.distinct(), "doc").join(item_texts, "item").select("doc", "item", "text", "item_text")
-    item_type = items.schema[item].dataType.simpleString()
+            lengths = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), np.int64)
+            for part in _chunks(lengths):
+                rows = batch.slice(part.start, part.stop - part.start)
+                chars, ends = streams(rows.column(1).to_pylist(), keep)
+                found = [sketches(chars, ends, size) for size in sizes]
+                at, values = (np.concatenate(x) for x in zip(*found, strict=True))
+                hit = in_filter(heads, values)
+                at, values = at[hit], values[hit]
+                picked = np.unique(at)
+                if len(picked):
+                    texts = [chars[ends[n - 1] if n else 0 : ends[n]] for n in picked]
+                    every = [np.unique(np.concatenate([shingles(t, size) for size in sizes if len(t) >= size])) for t in texts]
+                    many = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rows.column(c).take(pa.array(picked)) for c in (0, 1)), pa.array([np.unique(values[at == n]) for n in picked], many), pa.array([v[in_filter(known, v)] for v in every], many)],
+                        names=["doc", "text", "heads", "sketch"],
+                    )
+
+    whole = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.length(text).cast("long").alias("n")).where("doc IS NOT NULL AND text IS NOT NULL")
+    hits = scratch.cut(spread(whole, "doc").mapInArrow(run, f"doc {doc_type}, text string, heads array<bigint>, sketch array<bigint>")).df
+    index = F.broadcast(filed) if n_values <= broadcast_values else filed
+    met = hits.select("doc", F.col("sketch").alias("have"), F.explode("heads").alias("value")).join(index, "value")
+    # the document's sketch contains that of the whole passage
+    pairs = met.where(F.size(F.array_except("sketch", "have")) == 0).select("doc", "item").distinct()
+    texts = hits.select("doc", "text", F.xxhash64("text").alias("digest"), F.length("text").alias("n")).dropDuplicates(["doc", "digest", "n"]).select("doc", "text")
+    item_texts = items.select(F.col(item).alias("item"), F.col(text).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL").distinct()
+    open_pairs = pairs.join(item_texts, "item").join(texts, "doc").select("doc", "item", "text", "item_text")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[str]] = {}
@@ -216,3 +299,13 @@ def leaked_items(
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=[doc, item])
 
     return open_pairs.mapInArrow(verify, f"`{doc}` {doc_type}, `{item}` {item_type}").distinct()
+
+
+def _chunks(lengths: np.ndarray) -> Iterator[slice]:
+    """Rows in a row of about :data:`CHUNK` characters together, at least one."""
+    start = 0
+    while start < len(lengths):
+        total = np.cumsum(lengths[start:])
+        stop = start + max(1, int(np.searchsorted(total, CHUNK, "right")))
+        yield slice(start, stop)
+        start = stop

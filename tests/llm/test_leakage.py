@@ -78,8 +78,43 @@ def test_disguises(text):
     have = lk.words(text)
     assert lk.held(have, lk.words(ITEM))
     stream = "".join(have)
-    for _, size, values in lk.passage_values(ITEM.replace("schedule", "schedule")):
+    for _, size, values, ends in lk.passage_values(ITEM):
         assert set(values) <= set(lk.sketch(stream, size).tolist())
+        assert {*values, *ends} <= set(lk.shingles(np.array([ord(c) for c in stream], np.uint32), size).tolist())
+
+
+def test_fewer_words(spark):
+    docs = spark.createDataFrame([(1, "a b c one two I go"), (2, "one twoI go"), (3, "two I go on")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two I go"), (8, "I go on now")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in lk.leaked_items(docs, items, min_words=3).collect()} == {(1, 7), (2, 7), (3, 7), (3, 8)}  # inner boundaries are not compared
+    assert {(r.doc_id, r.item_id) for r in lk.leaked_items(docs, items, min_words=1).collect()} == {(1, 7), (2, 7), (3, 7), (1, 8), (2, 8), (3, 8)}
+
+
+def test_copies_of_ids_and_texts(spark):
+    rows = [(1, ITEM), (1, "other words"), (1, ITEM), (2, "other words"), (3, ITEM + " and more"), (4, ITEM)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(5, ITEM), (5, "too short"), (6, ITEM)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in lk.leaked_items(docs, items).collect()} == {(d, i) for d in (1, 3, 4) for i in (5, 6)}
+
+
+def test_streams_are_joined_words():
+    texts = [ITEM, None, "", "a-\nb <b>c</b> &amp; ½ ﬀ", "日本語のテキスト 々〇 ー", "x\u200by\u0301 İı ß ŉ"]
+    chars, ends = lk.streams(texts, lk.compared())
+    whole = "".join(map(chr, chars))
+    starts = [0, *ends[:-1].tolist()]
+    assert [whole[a:b] for a, b in zip(starts, ends, strict=True)] == ["".join(lk.words(t)) for t in texts]
+    for size in (1, 5, 13):
+        at, values = lk.sketches(chars, ends, size)
+        for n, t in enumerate(texts):
+            assert set(values[at == n].tolist()) == set(lk.sketch("".join(lk.words(t)), size).tolist())
+
+
+def test_filter_holds_its_values(spark):
+    values = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 3000)
+    df = spark.createDataFrame([(int(v),) for v in values], "value long")
+    bits = lk.make_filter(df, 3000)
+    assert lk.in_filter(bits, values).all()
+    assert lk.in_filter(bits, np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 3000)).mean() < 0.05
 
 
 def test_sketch_matches_plain_definition():
