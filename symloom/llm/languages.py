@@ -12,8 +12,10 @@ all documents.
 
 from __future__ import annotations
 
+import re as plain_re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +36,8 @@ FIT_SENTENCES, FIT_PER_DOCUMENT = 1_500, 12
 BUCKETS, LONGEST = 1 << 16, 4
 #: Learning rate, its offset, lasso and ridge weight, passes.
 ALPHA, BETA, LASSO, RIDGE, PASSES = 0.6, 1.0, 0.02, 0.05, 3
+#: Examples whose gradients are taken at once.
+TOGETHER = 32
 #: Labelled documents are judged by models of the other parts, so many times.
 FOLDS, CLEANINGS = 4, 2
 #: Share of held-out labels that calibration takes as unsure.
@@ -43,74 +47,134 @@ UNSURE = 0.55
 
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}"
 _HIDDEN = re.compile(r"[\p{Cf}\p{Cc}--[\n\t\r]]+", re.V1)
+_CONTROL = plain_re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _SPACE = re.compile(r"\p{Zs}")
-_MARK = re.compile(r"^[ \t]*(?:(?:///?|//!|/\*+!?|\*+/?|>+|--|;+)(?=\s|$)[ \t]*)+")
-_HASH = re.compile(r"^[ \t]*#+(?=\s|$)[ \t]*")
-_FENCE = re.compile(r"^[ \t]*(?:(?:[-*+•]|\d{1,3}[.)]|[a-z]+(?:\([\w./-]+\))?!?:)[ \t]+)?(`{3,}|~{3,})")
-_ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+")
-_COMMIT = re.compile(r"^[a-z]+(?:\([\w./-]+\))?!?:\s+(?=\S)")
-_NO_PROSE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,300}>|&\w{2,8};|https?://\S+|\S+@\S+\.\S+|\b[\w-]*(?:[_\\/.:]+[\w-]+)*_[\w-]*\b|\b\p{L}+\p{Ll}\p{Lu}\w*\b|[\w-]+(?:::|/|\\)[\w./\\-]+|\b\w+\.\w+(?:\.\w+)*\b(?!\.\s)|\b\w*\d\w*\b|\([^()\n]{0,80}\)|（[^（）\n]{0,80}）")
-_CODE_LINE = re.compile(r"[{};]\s*$|=>|\w\(\S*\)\s*[{;:]?$|^\s*(?:at\s+\S+\s*\(|@@|\+\+\+|---|diff --git|def |class |import |from \w+ import|func |fn |return\b.{0,40}$|if\s*\(|for\s*\()|^\s*[\w.]+\s*:?=\s*\S+$")
-_SENTENCE = re.compile(r"(?<=[.!?…][\"”“»'’)\]]*)\s+|(?<=[。！？][」』”\"）]*)")
-_WORD = re.compile(r"\p{L}[\p{L}\p{M}'’-]*")
+_MARK = plain_re.compile(r"^[ \t]*(?:(?:///?|//!|/\*+!?|\*+/?|>+|--|;+)(?=\s|$)[ \t]*)+")
+_HASH = plain_re.compile(r"^[ \t]*#+(?=\s|$)[ \t]*")
+_FENCE = plain_re.compile(r"^[ \t]*(?:(?:[-*+•]|\d{1,3}[.)]|[a-z]+(?:\([\w./-]+\))?!?:)[ \t]+)?(`{3,}|~{3,})")
+_ITEM = plain_re.compile(r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+")
+_COMMIT = plain_re.compile(r"^[a-z]+(?:\([\w./-]+\))?!?:\s+(?=\S)")
+_BROKEN = re.compile(r"(?<=\p{L})[-‐]\n(?=\p{Ll})")
+_WRAPPED = re.compile(rf"(?<=[{_CJK}、。])\n(?=[{_CJK}])")
+# what is no prose within a line: quoted code, tags, addresses, paths, identifiers, numbers, brackets
+_NO_PROSE_PARTS = r"`[^`\n]*`|<[^<>\n]{1,300}>|&\w{2,8};|https?://\S+|\S+@\S+\.\S+|\b[\w-]*(?:[_\\/.:]+[\w-]+)*_[\w-]*\b|\b%s\w*\b|[\w-]+(?:::|/|\\)[\w./\\-]+|\b\w+\.\w+(?:\.\w+)*\b(?!\.\s)|\b\w*\d\w*\b|\([^()\n]{0,80}\)|（[^（）\n]{0,80}）"
+_NO_PROSE, _NO_PROSE_ASCII = re.compile(_NO_PROSE_PARTS % r"\p{L}+\p{Ll}\p{Lu}"), plain_re.compile(_NO_PROSE_PARTS % "[A-Za-z]+[a-z][A-Z]")
+#: Without one of these there is nothing to take out.
+_SUSPECT, _SUSPECT_ASCII = re.compile(r"[`<&@_/\\(（\d]|::|\w\.\w|\p{Ll}\p{Lu}"), plain_re.compile(r"[`<&@_/\\(\d]|::|\w\.\w|[a-z][A-Z]")
+_CALL_END = plain_re.compile(r"\w\(\S*\)\s*[{;:]?$")
+_CODE_START = plain_re.compile(r"\s*(?:at\s+\S+\s*\(|@@|\+\+\+|---|diff --git|def |class |import |from \w+ import|func |fn |return\b.{0,40}$|if\s*\(|for\s*\()")
+_ASSIGNED = plain_re.compile(r"\s*[\w.]+\s*:?=\s*\S+$")
+_SENTENCE = plain_re.compile(r"[.!?…][\"”“»'’)\]]*\s+|[。！？][」』”\"）]*")
+_WORD, _WORD_ASCII = re.compile(r"\p{L}[\p{L}\p{M}'’-]*"), plain_re.compile(r"[A-Za-z][A-Za-z'-]*")
 _IDEOGRAPH = re.compile(f"[{_CJK}]")
 
 
-def sentences(text: str | None) -> list[str]:
-    """The sentences of prose of a text, in order."""
-    if not text:
-        return []
-    lines = _SPACE.sub(" ", _HIDDEN.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))).split("\n")
-    lines = [_MARK.sub("", line) for line in lines]
-    filled = [line for line in lines if line.strip()]
-    hashes = sum(bool(_HASH.match(line)) for line in filled)
-    comment = hashes > 0.6 * len(filled) and hashes > 1
+def _tidy(text: str) -> str:
+    """One kind of line end and of blank, nothing invisible."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if text.isascii():
+        return _CONTROL.sub("", text) if _CONTROL.search(text) else text
+    return _SPACE.sub(" ", _HIDDEN.sub("", text))
+
+
+def without_code(line: str) -> str:
+    """The line without code, identifiers, numbers, links and what is in brackets."""
+    if line.isascii():
+        return _NO_PROSE_ASCII.sub(" ", line) if _SUSPECT_ASCII.search(line) else line
+    return _NO_PROSE.sub(" ", line) if _SUSPECT.search(line) else line
+
+
+def word_list(text: str) -> list[str]:
+    return (_WORD_ASCII if text.isascii() else _WORD).findall(text)
+
+
+def _may_be_code(line: str) -> bool:
+    end = line.rstrip()[-1:]
+    return (
+        end in ("{", "}", ";") or "=>" in line or (")" in line and end in ("{", ":", ")") and _CALL_END.search(line) is not None)
+        or _CODE_START.match(line) is not None or ("=" in line and _ASSIGNED.match(line) is not None)
+    )
+
+
+def _blocks(text: str) -> list[list[str]]:
+    """The lines of prose, those that belong together in one block."""
+    lines = _tidy(text).split("\n")
+    lines = [_MARK.sub("", line) if line.lstrip(" \t")[:1] in ("/", "*", ">", "-", ";") else line for line in lines]
+    comment = False
+    if "#" in text:
+        filled = [line for line in lines if line.strip()]
+        hashes = sum(_HASH.match(line) is not None for line in filled)
+        comment = hashes > 0.6 * len(filled) and hashes > 1
     blocks: list[list[str]] = [[]]
     fence = ""
     for line in lines:
         if comment:
             line = _HASH.sub("", line)
-        if m := _FENCE.match(line):
+        if ("```" in line or "~~~" in line) and (m := _FENCE.match(line)):
             fence = "" if fence and m[1].startswith(fence) else fence or m[1][:3]
             blocks.append([])
             continue
         if fence:
             continue
-        if not line.strip():
+        head = line.strip()[:1]
+        if not head:
             blocks.append([])
             continue
-        if m := None if comment else _HASH.match(line):
+        if head == "#" and not comment and (m := _HASH.match(line)):
             blocks.append([])
             line = line[m.end() :].strip()
             if len(line) <= 100 and not line.endswith((".", "!", "?", "。")):  # a heading
                 continue
-        if m := _ITEM.match(line):
+            head = line[:1]
+        if (head in "-*+•" or head.isdigit()) and (m := _ITEM.match(line)):
             line = line[m.end() :]
             blocks.append([])
-        if not _IDEOGRAPH.search(line) and _CODE_LINE.search(line) and len(_WORD.findall(_NO_PROSE.sub(" ", line))) < 6:
+        if _may_be_code(line) and (line.isascii() or not _IDEOGRAPH.search(line)) and len(word_list(without_code(line))) < 6:
             blocks.append([])
             continue
         blocks[-1].append(line.strip())
-    out = []
-    for block in blocks:
+    return blocks
+
+
+def sentences(text: str | None) -> list[str]:
+    """The sentences of prose of a text, in order."""
+    out: list[str] = []
+    if not text:
+        return out
+    ideographs = not text.isascii() and _IDEOGRAPH.search(text) is not None
+    for block in _blocks(text):
         if block:
-            joined = _COMMIT.sub("", re.sub(r"(?<=\p{L})[-‐]\n(?=\p{Ll})", "", "\n".join(block)))
-            joined = re.sub(rf"(?<=[{_CJK}、。])\n(?=[{_CJK}])", "", joined).replace("\n", " ")
-            for part in _SENTENCE.split(joined):
-                plain = " ".join(_NO_PROSE.sub(" ", part).split())
-                if is_prose(plain):
-                    out.append(plain)
+            joined = "\n".join(block)
+            if "-\n" in joined or "‐\n" in joined:
+                joined = _BROKEN.sub("", joined)
+            if ":" in joined:
+                joined = _COMMIT.sub("", joined)
+            if ideographs:
+                joined = _WRAPPED.sub("", joined)
+            joined = joined.replace("\n", " ")
+            start = 0
+            for end in [*(m.end() for m in _SENTENCE.finditer(joined)), len(joined)]:
+                if end > start:
+                    plain = " ".join(without_code(joined[start:end]).split())
+                    if is_prose(plain):
+                        out.append(plain)
+                    start = end
     return out
 
 
 def is_prose(sentence: str) -> bool:
-    ideographs = len(_IDEOGRAPH.findall(sentence))
-    if ideographs >= 4:
+    if not sentence.isascii() and len(_IDEOGRAPH.findall(sentence)) >= 4:
         return True
-    words = _WORD.findall(sentence)
-    letters = sum(map(len, words))
-    shown = len(sentence) - sentence.count(" ")
-    return len(words) >= 3 and letters >= 0.7 * shown and sum(w[:1].islower() or len(w) == 1 or w.isupper() for w in words) >= 2
+    words = word_list(sentence)
+    if len(words) < 3 or sum(map(len, words)) < 0.7 * (len(sentence) - sentence.count(" ")):
+        return False
+    plain = 0
+    for w in words:
+        plain += w[:1].islower() or len(w) == 1 or w.isupper()
+        if plain >= 2:
+            return True
+    return False
 
 
 def label_language(label: Column) -> Column:
@@ -118,32 +182,75 @@ def label_language(label: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(label, r"^([A-Za-z]{2})(?:[-_](?:[A-Za-z]{2,8}|[0-9]{3}))*$", 1), F.lit("")))
 
 
+@lru_cache
+def letters() -> np.ndarray:
+    """For every code point whether it is a letter or a mark."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200)]))
+    out = np.zeros(0x110000, bool)
+    out[np.frombuffer(re.sub(r"[^\p{L}\p{M}]+", "", every).encode("utf-32-le"), np.uint32)] = True
+    return out
+
+
 class Grams(NamedTuple):
-    """Hashed n-grams of several texts, by position."""
+    """Hashed n-grams of several texts on end, by position."""
 
     starts: np.ndarray  # of each text, in positions
-    buckets: np.ndarray  # (n-gram lengths, positions)
-    valid: np.ndarray  # the n-gram lies within its text
+    buckets: np.ndarray  # (n-gram lengths, positions); BUCKETS where an n-gram would leave its text
 
 
 def grams(texts: Sequence[str]) -> Grams:
-    plain = [" " + re.sub(r"[^\p{L}\p{M}]+", " ", unicodedata.normalize("NFKC", t).casefold()).strip() + " " for t in texts]
-    chars = np.frombuffer("".join(plain).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(p) for p in plain], np.int64)
-    ends = np.cumsum(lengths)
-    end_of = np.repeat(ends, lengths)
-    at = np.arange(len(chars))
-    buckets = np.zeros((LONGEST, len(chars)), np.int64)
-    valid = np.zeros((LONGEST, len(chars)), bool)
-    h = np.zeros(len(chars), np.uint64)
-    with np.errstate(over="ignore"):
-        for n in range(1, LONGEST + 1):
-            shifted = np.concatenate([chars[n - 1 :], np.zeros(min(n - 1, len(chars)), np.uint64)])
-            h = (h + shifted + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            buckets[n - 1] = (h >> np.uint64(17)).astype(np.int64) % BUCKETS
-            valid[n - 1] = at + n <= end_of
-    return Grams(ends - lengths, buckets, valid)
+    """N-grams of the texts' letters without case, with one blank between
+    words and at either end of a text."""
+    end, blank = ord("\n"), ord(" ")
+    folded = unicodedata.normalize("NFKC", "\n".join(["", *(t.replace("\n", " ") for t in texts), ""])).casefold()
+    chars = np.frombuffer(folded.encode("utf-32-le", "replace"), np.uint32)
+    chars = np.where(letters()[chars] | (chars == end), chars, np.uint32(blank))
+    chars = chars[~((chars == blank) & np.isin(np.concatenate([[0], chars[:-1]]), (blank, end)))]
+    chars = chars[~((chars == blank) & (np.concatenate([chars[1:], [0]]) == end))]
+    stops = chars == end
+    starts = np.nonzero(stops)[0][:-1]
+    n_all = len(chars) - 1
+    chars = np.concatenate([np.where(stops, np.uint32(blank), chars), np.zeros(LONGEST, np.uint32)])
+    stops = np.concatenate([stops, np.ones(LONGEST, bool)])
+    buckets = np.empty((LONGEST, n_all), np.int64)
+    h, whole = np.zeros(n_all, np.uint32), np.ones(n_all, bool)
+    for n in range(1, LONGEST + 1):
+        h = (h + chars[n - 1 : n - 1 + n_all] + np.uint32(n)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        if n > 2:  # a text may end with the n-gram's last place, not before
+            whole &= ~stops[n - 2 : n - 2 + n_all]
+        buckets[n - 1] = np.where(whole, h >> np.uint32(16), BUCKETS)
+    return Grams(starts, buckets)
+
+
+class Rows(NamedTuple):
+    """Sparse rows: those of row i are from ``bounds[i]`` to ``bounds[i + 1]``."""
+
+    bounds: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+
+    def take(self, which: np.ndarray) -> Rows:
+        sizes = np.diff(self.bounds)[which]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.bounds[which] - bounds[:-1], sizes) + np.arange(bounds[-1])
+        return Rows(bounds, self.columns[at], self.values[at])
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.values[:, None] * weights[self.columns], self.bounds[:-1]) if len(self.columns) else np.zeros((0, weights.shape[1]))
+
+
+def tf_idf(texts: Sequence[str], idf: np.ndarray) -> Rows:
+    """Rows of length one; no text is without n-grams."""
+    g = grams(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(g.starts, append=g.buckets.shape[1]))
+    ok = g.buckets < BUCKETS
+    keys, n = np.unique((owner * BUCKETS + g.buckets)[ok], return_counts=True)
+    row, column = keys // BUCKETS, keys % BUCKETS
+    values = n * idf[column]
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    values = values / np.sqrt(np.maximum(np.add.reduceat(values * values, bounds[:-1]), 1e-9))[row]
+    return Rows(bounds, column, values)
 
 
 class Model(NamedTuple):
@@ -152,21 +259,35 @@ class Model(NamedTuple):
     weights: np.ndarray  # (buckets, languages)
     temperature: float
 
-    def scores(self, texts: Sequence[str]) -> np.ndarray:
+    def lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights times idf of the buckets that have any, where they are, and
+        squares of idf, each with a row of nothing at the end."""
+        some = self.weights.any(1)
+        at = np.zeros(BUCKETS + 1, np.int32)
+        at[:-1][some] = np.arange(1, some.sum() + 1)
+        table = (self.idf[:, None] * self.weights)[some]
+        return np.concatenate([np.zeros((1, len(self.languages))), table]).astype(np.float32), at, np.append(self.idf * self.idf, 0).astype(np.float32)
+
+    def scores(self, texts: Sequence[str], lookup: tuple | None = None) -> np.ndarray:
+        table, at, squares = lookup or self.lookup()
         g = grams(texts)
-        total = np.zeros((len(texts), len(self.languages)), np.float64)
+        total = np.zeros((len(texts), len(self.languages)))
         norm = np.zeros(len(texts))
-        for b, ok in zip(g.buckets, g.valid, strict=True):
-            w = self.idf[b] * ok
-            total += np.add.reduceat(w[:, None] * self.weights[b], g.starts, axis=0)
-            norm += np.add.reduceat(w * w, g.starts)
+        for b in g.buckets:
+            rows = at[b]
+            some = np.nonzero(rows)[0]
+            if len(some):
+                first = np.searchsorted(some, g.starts)
+                full = np.diff(first, append=len(some)) > 0
+                total[full] += np.add.reduceat(table[rows[some]], first[full], axis=0)
+            norm += np.add.reduceat(squares[b], g.starts)
         return total / np.sqrt(np.maximum(norm, 1e-9))[:, None]
 
-    def confidence(self, texts: Sequence[str]) -> np.ndarray:
+    def confidence(self, texts: Sequence[str], lookup: tuple | None = None) -> np.ndarray:
         """Calibrated probabilities, one row a text."""
         if not texts:
             return np.zeros((0, len(self.languages)))
-        return softmax(self.scores(texts) / self.temperature)
+        return softmax(self.scores(texts, lookup) / self.temperature)
 
 
 def softmax(s: np.ndarray) -> np.ndarray:
@@ -174,19 +295,9 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _examples(texts: Sequence[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    g = grams(texts)
-    bounds = [*g.starts.tolist(), g.buckets.shape[1]]
-    out = []
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        found, n = np.unique(g.buckets[:, a:b][g.valid[:, a:b]], return_counts=True)
-        v = idf[found]
-        out.append((found, n * v / np.sqrt(max((n * v * v).sum(), 1e-9))))
-    return out
-
-
-def train(texts: Sequence[str], labels: np.ndarray, n_classes: int, idf: np.ndarray, passes: int = PASSES, seed: int = 5) -> np.ndarray:
-    """Weights by follow-the-regularised-leader with per-coordinate rates."""
+def train(rows: Rows, labels: np.ndarray, n_classes: int, passes: int = PASSES, seed: int = 5) -> np.ndarray:
+    """Weights by follow-the-regularised-leader with per-coordinate rates, the
+    gradients of :data:`TOGETHER` examples taken at once."""
     z = np.zeros((BUCKETS, n_classes))
     n = np.zeros((BUCKETS, n_classes))
 
@@ -194,15 +305,20 @@ def train(texts: Sequence[str], labels: np.ndarray, n_classes: int, idf: np.ndar
         shrunk = np.sign(zz) * LASSO - zz
         return np.where(np.abs(zz) > LASSO, shrunk / ((BETA + np.sqrt(nn)) / ALPHA + RIDGE), 0.0)
 
-    examples = _examples(texts, idf)
     rng = np.random.default_rng(seed)
     eye = np.eye(n_classes)
     for _ in range(passes):
-        for i in rng.permutation(len(examples)):
-            found, v = examples[i]
+        order = rng.permutation(len(labels))
+        mixed, y = rows.take(order), labels[order]
+        for i in range(0, len(order), TOGETHER):
+            bounds = mixed.bounds[i : i + TOGETHER + 1]
+            columns, v = mixed.columns[bounds[0] : bounds[-1]], mixed.values[bounds[0] : bounds[-1]]
+            found, at = np.unique(columns, return_inverse=True)
             zz, nn = z[found], n[found]
             w = weights(zz, nn)
-            g = v[:, None] * (softmax(v @ w) - eye[labels[i]])
+            off = softmax(np.add.reduceat(v[:, None] * w[at], bounds[:-1] - bounds[0])) - eye[y[i : i + TOGETHER]]
+            each = v[:, None] * np.repeat(off, np.diff(bounds), axis=0)
+            g = np.stack([np.bincount(at, each[:, c], len(found)) for c in range(n_classes)], 1)
             rate = (np.sqrt(nn + g * g) - np.sqrt(nn)) / ALPHA
             z[found] = zz + g - rate * w
             n[found] = nn + g * g
@@ -235,36 +351,35 @@ def fit(docs: Sequence[int], texts: Sequence[str], labels: Sequence[str], idf: n
     y = np.array([languages.index(x) for x in labels])
     group = np.unique(np.asarray(docs), return_inverse=True)[1]
     part = (group * 2654435761 % 2**32) * FOLDS // 2**32
+    rows = tf_idf(texts, idf)
     use = np.ones(len(y), bool)
     for _ in range(CLEANINGS):
-        use = _trusted(texts, y, group, part, use, languages, idf)
+        use = _trusted(rows, y, group, part, use, len(languages))
     held = part == 0 if len(set(part)) > 1 else np.zeros(len(y), bool)
     if len(set(y[use & ~held])) < len(languages):
         held = np.zeros(len(y), bool)
-    model = Model(languages, idf, train(_subset(texts, use & ~held), y[use & ~held], len(languages), idf), 1.0)
-    check = use & held
-    scores = model.scores(_subset(texts, check)) if check.any() else np.zeros((0, len(languages)))
-    return model._replace(temperature=fit_temperature(scores, y[check]))
+    weights = _trained(rows, y, use & ~held, len(languages))
+    check = np.nonzero(use & held)[0]
+    return Model(languages, idf, weights, fit_temperature(rows.take(check).times(weights), y[check]))
 
 
-def _subset(texts: Sequence[str], mask: np.ndarray) -> list[str]:
-    return [t for t, m in zip(texts, mask, strict=True) if m]
+def _trained(rows: Rows, y: np.ndarray, use: np.ndarray, n_languages: int, passes: int = PASSES) -> np.ndarray:
+    which = np.nonzero(use)[0]
+    return train(rows.take(which), y[which], n_languages, passes)
 
 
-def _trusted(texts: Sequence[str], y: np.ndarray, group: np.ndarray, part: np.ndarray, use: np.ndarray, languages: tuple[str, ...], idf: np.ndarray) -> np.ndarray:
+def _trusted(rows: Rows, y: np.ndarray, group: np.ndarray, part: np.ndarray, use: np.ndarray, n_languages: int) -> np.ndarray:
     """Which sentences bear the label that models of the other parts give
     their whole document and themselves. A model that had seen a wrong label
     would repeat it, so each part is judged by the others."""
-    p = np.zeros((len(y), len(languages)))
+    p = np.zeros((len(y), n_languages))
     for k in set(part.tolist()):
         others = use & (part != k)
-        mine = part == k
+        mine = np.nonzero(part == k)[0]
         if not others.any():
             return use
-        model = Model(languages, idf, train(_subset(texts, others), y[others], len(languages), idf, 1), 1.0)
-        asked = _subset(texts, mine)
-        p[mine] = np.concatenate([softmax(model.scores(asked[i : i + 2000])) for i in range(0, len(asked), 2000)])
-    mean = np.zeros((group.max() + 1, len(languages)))
+        p[mine] = softmax(rows.take(mine).times(_trained(rows, y, others, n_languages, 1)))
+    mean = np.zeros((group.max() + 1, n_languages))
     np.add.at(mean, group, p)
     out = (mean.argmax(1)[group] == y) & (p.argmax(1) == y)
     # a language of which nothing would remain keeps its labels
@@ -303,7 +418,7 @@ def segments(p: np.ndarray, short: Sequence[bool] = (), unsure: float = UNSURE)
 
 def is_short(sentence: str) -> bool:
     """Too short to tell a language from borrowed words."""
-    return len(_WORD.findall(sentence)) <= 3 and len(_IDEOGRAPH.findall(sentence)) < 6
+    return len(word_list(sentence)) <= 3 and (sentence.isascii() or len(_IDEOGRAPH.findall(sentence)) < 6)
 
 
 def counting_runs(runs: list[Run]) -> list[bool]:
@@ -320,32 +435,43 @@ def counting_runs(runs: list[Run]) -> list[bool]:
     return [r.language == best for r in runs]
 
 
-def _prepared(docs: DataFrame, doc: str, text: str, label: str, languages: Sequence[str]) -> DataFrame:
+def _prepared(docs: DataFrame, doc: str, text: str, label: str) -> DataFrame:
+    """``doc, named, sentences`` of every document with prose, and in rows of
+    their own ``bucket, df``: in how many documents of a task it occurs."""
     kind = docs.schema[doc].dataType.simpleString()
+    names = ["doc", "named", "sentences", "bucket", "df"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BUCKETS, np.int64)
+        ids, named = pa.null(), pa.string()
         for batch in batches:
-            cut = pa.array([sentences(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut], names=["doc", "named", "sentences"])
+            ids = batch.column(0).type
+            for i in range(0, batch.num_rows, 256):
+                cut = [sentences(t) for t in batch.column(2).slice(i, 256).to_pylist()]
+                full = [n for n, parts in enumerate(cut) if parts]
+                for j in range(0, len(full), 64):
+                    some = [" ".join(cut[n]) for n in full[j : j + 64]]
+                    g = grams(some)
+                    seen = np.zeros((len(some), BUCKETS + 1), bool)
+                    seen[np.repeat(np.arange(len(some)), np.diff(g.starts, append=g.buckets.shape[1])), g.buckets] = True
+                    df += seen[:, :-1].sum(0)
+                at = pa.array(full, pa.int64())
+                rows = batch.slice(i, 256).take(at)
+                none = pa.nulls(len(full), pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([cut[n] for n in full], pa.list_(named)), none, none.cast(pa.int64())], names=names)
+        found = np.nonzero(df)[0]
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), ids), pa.nulls(len(found), named), pa.nulls(len(found), pa.list_(named)), pa.array(found.astype(np.int32)), pa.array(df[found])], names=names)
 
     rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), label_language(F.col(label)).alias("named"), F.col(text).alias("text"))
-    return spread(rows, "doc").mapInArrow(run, f"doc {kind}, named string, sentences array<string>").where(F.size("sentences") > 0)
-
+    return spread(rows, "doc").mapInArrow(run, f"doc {kind}, named string, sentences array<string>, bucket int, df bigint")
 
-def _idf(prepared: DataFrame) -> np.ndarray:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for parts in batch.column(0).to_pylist():
-                g = grams(["\n".join(parts)])
-                df[np.unique(g.buckets[g.valid])] += 1
-        found = np.nonzero(df)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(df[found])], names=["bucket", "df"])
 
-    counts = prepared.select("sentences").mapInArrow(run, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
+def _idf(counts: DataFrame, n: int) -> np.ndarray:
+    """Inverse document frequencies from all documents; one row a bucket is collected."""
+    found = counts.groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(BUCKETS)
-    df[counts["bucket"]] = counts["df"]
-    n = prepared.count()
+    df[found["bucket"].to_numpy()] = found["df"].to_numpy()
     return (np.log((1 + n) / (1 + df)) + 1.0).astype(np.float32)
 
 
@@ -378,23 +504,24 @@ def identify(
     ignored. At most ``per_language`` sentences of each language fit the model.
     """
     scratch = Scratch(docs.sparkSession, "languages")
-    prepared = scratch.cut(_prepared(docs, doc, text, label, languages))
-    kind = prepared.df.schema["doc"].dataType.simpleString()
+    written = scratch.cut(_prepared(docs, doc, text, label), n=F.count("sentences"))
+    prepared = written.df.where("sentences IS NOT NULL").select("doc", "named", "sentences")
+    kind = prepared.schema["doc"].dataType.simpleString()
     out = f"doc {kind}, named string, segments array<struct<lang:string,first:int,n:int,confidence:double,counts:boolean>>"
-    model = fit(*_sample(prepared.df, languages, per_language), _idf(prepared.df))
+    model = fit(*_sample(prepared, languages, per_language), _idf(written.df.where("bucket IS NOT NULL"), written.seen["n"] or 0))
     if model is None:
         return docs.sparkSession.createDataFrame([], out)
-    shared = docs.sparkSession.sparkContext.broadcast(model._replace(weights=model.weights.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((model._replace(idf=None, weights=None), model.lookup()))
     item = pa.struct([("lang", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("confidence", pa.float64()), ("counts", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, lookup = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
                 lists = part.column(2).to_pylist()
                 flat = [s for parts in lists for s in parts]
-                p, at, rows = m.confidence(flat), 0, []
+                p, at, rows = m.confidence(flat, lookup), 0, []
                 for parts in lists:
                     runs = segments(p[at : at + len(parts)], [is_short(x) for x in parts])
                     at += len(parts)
@@ -406,7 +533,7 @@ def identify(
                     )
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.list_(item))], names=["doc", "named", "segments"])
 
-    return prepared.df.mapInArrow(run, out)
+    return prepared.mapInArrow(run, out)
 
 
 def mislabelled(identified: DataFrame) -> DataFrame:
