@@ -36,8 +36,8 @@ FIT_SENTENCES, FIT_PER_DOCUMENT = 1_500, 12
 BUCKETS, LONGEST = 1 << 16, 4
 #: Learning rate, its offset, lasso and ridge weight, passes.
 ALPHA, BETA, LASSO, RIDGE, PASSES = 0.6, 1.0, 0.02, 0.05, 3
-#: Examples whose gradients are taken at once.
-TOGETHER = 32
+#: Examples whose gradients are taken at once, and characters that are scored at once.
+TOGETHER, AT_ONCE = 32, 16_384
 #: Labelled documents are judged by models of the other parts, so many times.
 FOLDS, CLEANINGS = 4, 2
 #: Share of held-out labels that calibration takes as unsure.
@@ -45,28 +45,41 @@ SMOOTH = 0.01
 #: A sentence below this confidence takes the language of its neighbours.
 UNSURE = 0.55
 
-_CJK = r"\p{Han}\p{Hiragana}\p{Katakana}"
-_HIDDEN = re.compile(r"[\p{Cf}\p{Cc}--[\n\t\r]]+", re.V1)
+_POINTS = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200)]))
+
+
+def _class(properties: str) -> str:
+    """What a character class of properties holds, as plain ranges: the
+    standard library scans those several times faster."""
+    points = np.frombuffer("".join(re.findall(f"[{properties}]+", _POINTS, re.V1)).encode("utf-32-le"), np.uint32)
+    first = np.nonzero(np.diff(points, prepend=-2) != 1)[0]
+    return "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for a, b in zip(first, [*first[1:], len(points)], strict=True))
+
+
+_CJK = _class(r"\p{Han}\p{Hiragana}\p{Katakana}")
+_L, _LM = _class(r"\p{L}"), _class(r"\p{L}\p{M}")
+_HIDDEN = plain_re.compile("[" + _class(r"\p{Cf}\p{Cc}--[\n\t\r]") + "]+")
 _CONTROL = plain_re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-_SPACE = re.compile(r"\p{Zs}")
+_SPACE = plain_re.compile("[" + _class(r"\p{Zs}--[ ]") + "]")
 _MARK = plain_re.compile(r"^[ \t]*(?:(?:///?|//!|/\*+!?|\*+/?|>+|--|;+)(?=\s|$)[ \t]*)+")
 _HASH = plain_re.compile(r"^[ \t]*#+(?=\s|$)[ \t]*")
 _FENCE = plain_re.compile(r"^[ \t]*(?:(?:[-*+•]|\d{1,3}[.)]|[a-z]+(?:\([\w./-]+\))?!?:)[ \t]+)?(`{3,}|~{3,})")
 _ITEM = plain_re.compile(r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+")
 _COMMIT = plain_re.compile(r"^[a-z]+(?:\([\w./-]+\))?!?:\s+(?=\S)")
 _BROKEN = re.compile(r"(?<=\p{L})[-‐]\n(?=\p{Ll})")
-_WRAPPED = re.compile(rf"(?<=[{_CJK}、。])\n(?=[{_CJK}])")
+_WRAPPED = plain_re.compile(rf"(?<=[{_CJK}、。])\n(?=[{_CJK}])")
 # what is no prose within a line: quoted code, tags, addresses, paths, identifiers, numbers, brackets
 _NO_PROSE_PARTS = r"`[^`\n]*`|<[^<>\n]{1,300}>|&\w{2,8};|https?://\S+|\S+@\S+\.\S+|\b[\w-]*(?:[_\\/.:]+[\w-]+)*_[\w-]*\b|\b%s\w*\b|[\w-]+(?:::|/|\\)[\w./\\-]+|\b\w+\.\w+(?:\.\w+)*\b(?!\.\s)|\b\w*\d\w*\b|\([^()\n]{0,80}\)|（[^（）\n]{0,80}）"
 _NO_PROSE, _NO_PROSE_ASCII = re.compile(_NO_PROSE_PARTS % r"\p{L}+\p{Ll}\p{Lu}"), plain_re.compile(_NO_PROSE_PARTS % "[A-Za-z]+[a-z][A-Z]")
 #: Without one of these there is nothing to take out.
-_SUSPECT, _SUSPECT_ASCII = re.compile(r"[`<&@_/\\(（\d]|::|\w\.\w|\p{Ll}\p{Lu}"), plain_re.compile(r"[`<&@_/\\(\d]|::|\w\.\w|[a-z][A-Z]")
+_SUSPECT, _SUSPECT_ASCII = plain_re.compile(rf"[`<&@_/\\(（\d]|::|\S\.\S|[{_class(chr(92) + 'p{Ll}')}][{_class(chr(92) + 'p{Lu}')}]"), plain_re.compile(r"[`<&@_/\\(\d]|::|\w\.\w|[a-z][A-Z]")
 _CALL_END = plain_re.compile(r"\w\(\S*\)\s*[{;:]?$")
 _CODE_START = plain_re.compile(r"\s*(?:at\s+\S+\s*\(|@@|\+\+\+|---|diff --git|def |class |import |from \w+ import|func |fn |return\b.{0,40}$|if\s*\(|for\s*\()")
 _ASSIGNED = plain_re.compile(r"\s*[\w.]+\s*:?=\s*\S+$")
 _SENTENCE = plain_re.compile(r"[.!?…][\"”“»'’)\]]*\s+|[。！？][」』”\"）]*")
-_WORD, _WORD_ASCII = re.compile(r"\p{L}[\p{L}\p{M}'’-]*"), plain_re.compile(r"[A-Za-z][A-Za-z'-]*")
-_IDEOGRAPH = re.compile(f"[{_CJK}]")
+_WORD, _WORD_ASCII = plain_re.compile(rf"[{_L}][{_LM}'’-]*"), plain_re.compile(r"[A-Za-z][A-Za-z'-]*")
+_FOUR_WORDS = plain_re.compile(rf"(?:[^{_L}]*+[{_L}][{_LM}'’-]*+){{4}}")
+_IDEOGRAPH = plain_re.compile(f"[{_CJK}]")
 
 
 def _tidy(text: str) -> str:
@@ -185,9 +198,8 @@ def label_language(label: Column) -> Column:
 @lru_cache
 def letters() -> np.ndarray:
     """For every code point whether it is a letter or a mark."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200)]))
     out = np.zeros(0x110000, bool)
-    out[np.frombuffer(re.sub(r"[^\p{L}\p{M}]+", "", every).encode("utf-32-le"), np.uint32)] = True
+    out[np.frombuffer(re.sub(r"[^\p{L}\p{M}]+", "", _POINTS).encode("utf-32-le"), np.uint32)] = True
     return out
 
 
@@ -259,28 +271,29 @@ class Model(NamedTuple):
     weights: np.ndarray  # (buckets, languages)
     temperature: float
 
-    def lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weights times idf of the buckets that have any, where they are, and
-        squares of idf, each with a row of nothing at the end."""
-        some = self.weights.any(1)
-        at = np.zeros(BUCKETS + 1, np.int32)
-        at[:-1][some] = np.arange(1, some.sum() + 1)
-        table = (self.idf[:, None] * self.weights)[some]
-        return np.concatenate([np.zeros((1, len(self.languages))), table]).astype(np.float32), at, np.append(self.idf * self.idf, 0).astype(np.float32)
+    def lookup(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights times idf of every bucket, and squares of idf, each with a
+        row of nothing at the end."""
+        table = np.concatenate([self.idf[:, None] * self.weights, np.zeros((1, len(self.languages)))])
+        return table.astype(np.float32), np.append(self.idf * self.idf, 0).astype(np.float32)
 
     def scores(self, texts: Sequence[str], lookup: tuple | None = None) -> np.ndarray:
-        table, at, squares = lookup or self.lookup()
+        table, squares = lookup or self.lookup()
         g = grams(texts)
         total = np.zeros((len(texts), len(self.languages)))
         norm = np.zeros(len(texts))
-        for b in g.buckets:
-            rows = at[b]
-            some = np.nonzero(rows)[0]
-            if len(some):
-                first = np.searchsorted(some, g.starts)
-                full = np.diff(first, append=len(some)) > 0
-                total[full] += np.add.reduceat(table[rows[some]], first[full], axis=0)
-            norm += np.add.reduceat(squares[b], g.starts)
+        stops = np.append(g.starts[1:], g.buckets.shape[1])
+        first = 0
+        while first < len(texts):  # so many at once as the cache holds
+            last = max(first + 1, int(np.searchsorted(stops, g.starts[first] + AT_ONCE, "right")))
+            part = slice(g.starts[first], stops[last - 1])
+            sums, squared = table.take(g.buckets[0, part], 0, mode="clip"), squares.take(g.buckets[0, part], mode="clip")
+            for b in g.buckets[1:]:
+                sums += table.take(b[part], 0, mode="clip")
+                squared += squares.take(b[part], mode="clip")
+            starts = g.starts[first:last] - g.starts[first]
+            total[first:last], norm[first:last] = np.add.reduceat(sums, starts, axis=0), np.add.reduceat(squared, starts)
+            first = last
         return total / np.sqrt(np.maximum(norm, 1e-9))[:, None]
 
     def confidence(self, texts: Sequence[str], lookup: tuple | None = None) -> np.ndarray:
@@ -418,7 +431,7 @@ def segments(p: np.ndarray, short: Sequence[bool] = (), unsure: float = UNSURE)
 
 def is_short(sentence: str) -> bool:
     """Too short to tell a language from borrowed words."""
-    return len(word_list(sentence)) <= 3 and (sentence.isascii() or len(_IDEOGRAPH.findall(sentence)) < 6)
+    return _FOUR_WORDS.match(sentence) is None and (sentence.isascii() or len(_IDEOGRAPH.findall(sentence)) < 6)
 
 
 def counting_runs(runs: list[Run]) -> list[bool]:
@@ -452,9 +465,11 @@ def _prepared(docs: DataFrame, doc: str, text: str, label: str) -> DataFrame:
                 for j in range(0, len(full), 64):
                     some = [" ".join(cut[n]) for n in full[j : j + 64]]
                     g = grams(some)
-                    seen = np.zeros((len(some), BUCKETS + 1), bool)
-                    seen[np.repeat(np.arange(len(some)), np.diff(g.starts, append=g.buckets.shape[1])), g.buckets] = True
-                    df += seen[:, :-1].sum(0)
+                    seen = np.zeros(len(some) * (BUCKETS + 1), bool)
+                    owner = np.repeat(np.arange(len(some)) * (BUCKETS + 1), np.diff(g.starts, append=g.buckets.shape[1]))
+                    for b in g.buckets:
+                        seen[owner + b] = True
+                    df += seen.reshape(len(some), -1)[:, :-1].sum(0, dtype=np.uint8)
                 at = pa.array(full, pa.int64())
                 rows = batch.slice(i, 256).take(at)
                 none = pa.nulls(len(full), pa.int32())
