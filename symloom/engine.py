@@ -23,8 +23,9 @@ SYMBOL_COLUMNS = ("id", "name", "kind", "lang", "file")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base: str | Path = ".", plugins: PluginRegistry | None = None, embedder: Embedder | None = None) -> None:
-        self.spark, self.base, self.plugins = spark, Path(base), plugins or PluginRegistry()
+    def __init__(self, spark: SparkSession, base: str | Path = ".", plugins: PluginRegistry | None = None, embedder: Embedder | None = None, folder: str | None = None) -> None:
+        """``folder``: where the index is, on any file system; else in the project."""
+        self.spark, self.base, self.plugins, self._folder = spark, Path(base), plugins or PluginRegistry(), folder
         self.embedder = embedder or HashEmbedder()
         ship(spark)
         self.config = conf.Config.load(self.base)
@@ -32,7 +33,7 @@ class Engine:
 
     @property
     def folder(self) -> str:
-        return str(self.config.index_path.resolve())
+        return self._folder or str(self.config.index_path.resolve())
 
     @property
     def registry(self) -> Registry:
@@ -162,4 +163,4 @@ class Engine:
             now = self.index_tables
         except indexing.IndexNotFound:
             return {"status": "no_index"}
-        return now.state | {"symbols": now.symbols.count(), "edges": now.edges.count()}
+        return now.state | {"symbols": now.symbols.count(), "edges": now.edges.count(), "vectors": now.table("vectors").count()}

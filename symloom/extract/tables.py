@@ -146,6 +146,8 @@ class PluginRegistry:
         return [p.name for p in self.plugins]
 
     def apply(self, files: DataFrame, symbols: DataFrame) -> DataFrame | None:
-        """Only what the plug-ins add, in order of registration."""
+        """Only what the plug-ins add, in order of registration. A plug-in may
+        give the id of the other end itself, as ``dst``."""
         parts = [p.apply(files, symbols) for p in self.plugins]
+        parts = [p if "dst" in p.columns else p.withColumn("dst", F.lit(None).cast("string")) for p in parts]
         return reduce(DataFrame.unionByName, parts) if parts else None

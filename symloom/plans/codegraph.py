@@ -11,7 +11,7 @@ from symloom.extract.tables import RegexEdges, extracted, references_of, symbols
 from symloom.functions.keys import clean_kind, clean_name, full_kind, plain_path
 from symloom.functions.scalars import collapse_blanks, extension, hash_embedding, symbol_id, tokens
 from symloom.operators import deltas, fulltext, graph, vectors
-from symloom.plans.index import with_positions
+from symloom.plans.index import newest_files, with_positions
 from symloom.plans.tables import table
 from symloom.streaming import watch
 
@@ -67,12 +67,6 @@ def callers_newest_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "refs").select(F.substring(clean_name("to_name"), 1, 8).alias("name"))
-    return graph.resolve_names(_current(spark, sf), names, contained=False)
-
-
-def resolve_whole_names(spark: SparkSession, sf: str) -> DataFrame:
-    """As resolve_names, of whole names and with those only contained in one."""
     return graph.resolve_names(_current(spark, sf), table(spark, sf, "refs").select(clean_name("to_name").alias("name")))
 
 
@@ -120,10 +114,6 @@ def member_owner(spark: SparkSession, sf: str) -> DataFrame:
     return deltas.attribute_sites(now.where("kind NOT IN ('method', 'field', 'module')"), sites)
 
 
-def fqname(spark: SparkSession, sf: str) -> DataFrame:
-    return _current(spark, sf).select("id", F.concat_ws("::", "file", "name").alias("fqname"))
-
-
 def kind_forms(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "symbols").select(F.col("kind").alias("spelled"), full_kind("kind").alias("kind"))
     return rows.groupBy("spelled", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -141,11 +131,6 @@ def file_extensions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "source_files").select("file").distinct().groupBy(extension("file").alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def regex_edges(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.explode(F.expr("regexp_extract_all(text, '`([A-Za-z_]+)`', 1)"))
-    return table(spark, sf, "documents").select("doc_id", names.alias("to_name")).groupBy("doc_id", "to_name").agg(F.count(F.lit(1)).alias("n"))
-
-
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "documents").select("doc_id", F.explode(tokens("text")).alias("term"))
     return words.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count(F.lit(1)).alias("cf"))
@@ -226,7 +211,7 @@ def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
-    files = with_positions(table(spark, sf, "source_files").dropDuplicates(["file"]))
+    files = with_positions(newest_files(table(spark, sf, "source_files")))
     return extracted(files, Registry.load())
 
 
@@ -244,7 +229,7 @@ def extract_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def plugin_edges(spark: SparkSession, sf: str) -> DataFrame:
     """References from imports of a file to the module they name, by pattern."""
-    files = table(spark, sf, "source_files").dropDuplicates(["file"])
+    files = newest_files(table(spark, sf, "source_files"))
     plugin = RegexEdges("returns", r"(?:func|fn|def|function) (\w+)\([^{:]*?(?:->|:) ?(\w+)", "returns")
     return plugin.apply(files, symbols_of(_extracted(spark, sf)))
 
@@ -269,9 +254,9 @@ def supply_callers(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        current_symbols, get_symbol, find_substring, find_exact_ci, find_filtered, callers, callees, callers_newest_kind, resolve_names, resolve_whole_names, insert_edges,
-        remove_files_symbols, remove_files_edges, index_status, resolve_refs, neighborhood_d2, neighborhood_capped, member_owner, fqname, kind_forms,
-        symbol_ids, collapse_ws, file_extensions, regex_edges, term_stats, postings, bm25_all, bm25_topk, bm25_field, phrase, boolean_search, symbol_search,
+        current_symbols, get_symbol, find_substring, find_exact_ci, find_filtered, callers, callees, callers_newest_kind, resolve_names, insert_edges,
+        remove_files_symbols, remove_files_edges, index_status, resolve_refs, neighborhood_d2, neighborhood_capped, member_owner, kind_forms,
+        symbol_ids, collapse_ws, file_extensions, term_stats, postings, bm25_all, bm25_topk, bm25_field, phrase, boolean_search, symbol_search,
         vector_topk, vector_search, hash_embed, snapshot_diff, mtime_filter, debounce_sessions, supply_callers,
         extract_symbols, extract_refs, extract_status, plugin_edges, stream_sessions,
     )
@@ -309,11 +294,7 @@ ORACLE = {
     "callers": _linked_sql("dst", "src"),
     "callees": _linked_sql("src", "dst"),
     "callers_newest_kind": _linked_sql("dst", "src", "first_value(e.kind) OVER (PARTITION BY e.dst, e.src ORDER BY e.seq DESC)"),
-    "resolve_names": f"""WITH {_CUR}, a AS (SELECT DISTINCT substr({_NAME.format('to_name')}, 1, 8) AS asked FROM refs),
-        x AS (SELECT asked, id, row_number() OVER (PARTITION BY asked ORDER BY name = asked DESC, CASE WHEN name = asked THEN 0 ELSE length(name) END, ord, id) AS r
-              FROM a JOIN cur ON name = asked OR starts_with(lower(name), lower(asked)) WHERE asked <> '')
-        SELECT asked, id FROM x WHERE r = 1""",
-    "resolve_whole_names": f"""WITH {_CUR}, a AS (SELECT DISTINCT {_NAME.format('to_name')} AS asked FROM refs),
+    "resolve_names": f"""WITH {_CUR}, a AS (SELECT DISTINCT {_NAME.format('to_name')} AS asked FROM refs),
         x AS (SELECT asked, id, row_number() OVER (PARTITION BY asked ORDER BY name = asked DESC, starts_with(lower(name), lower(asked)) DESC, length(name), ord, id) AS r
               FROM a JOIN cur ON contains(lower(name), lower(asked)) WHERE asked <> '')
         SELECT asked, id FROM x WHERE r = 1""",
@@ -331,12 +312,10 @@ ORACLE = {
     "member_owner": f"""WITH {_CUR}, x AS (SELECT m.id AS site, o.id AS owner, row_number() OVER (PARTITION BY m.id ORDER BY o.ord, o.id) AS r
         FROM cur m JOIN cur o ON o.file = m.file AND m.start_byte >= o.start_byte AND m.start_byte < o.end_byte
         WHERE m.kind IN ('method', 'field') AND o.kind NOT IN ('method', 'field', 'module')) SELECT site, owner FROM x WHERE r = 1""",
-    "fqname": f"WITH {_CUR} SELECT id, concat_ws('::', file, name) AS fqname FROM cur",
     "kind_forms": f"SELECT kind AS spelled, {_KIND} AS kind, count(*) AS n FROM symbols GROUP BY ALL",
     "symbol_ids": f"WITH {_CUR} SELECT id, id AS computed FROM cur",
     "collapse_ws": r"SELECT doc_id, trim(regexp_replace(text, '[\s\v]+', ' ', 'g'), ' ') AS text FROM documents",
     "file_extensions": r"SELECT regexp_extract(file, '[^/]\.([^./]+)$', 1) AS ext, count(*) AS n FROM (SELECT DISTINCT file FROM source_files) GROUP BY ext",
-    "regex_edges": "SELECT doc_id, to_name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '`([A-Za-z_]+)`', 1)) AS to_name FROM documents) GROUP BY ALL",
     "term_stats": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY term",
     "postings": f"""WITH {_CUR}, f AS (SELECT id, 'name' AS field, {_WORDS.format('name')} AS w FROM cur UNION ALL SELECT id, 'fqname', {_WORDS.format('fqname')} FROM cur
         UNION ALL SELECT id, 'file_text', {_WORDS.format('file')} FROM cur UNION ALL SELECT id, 'signature', {_WORDS.format('signature')} FROM cur
@@ -363,3 +342,29 @@ ORACLE = {
     "supply_callers": "SELECT 'P' || l_partkey AS id, 'O' || l_orderkey AS other, o_orderpriority AS name, l_returnflag AS edge_kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey IN (SELECT p_partkey FROM part)",
 }
 ORACLE["stream_sessions"] = ORACLE["debounce_sessions"]
+
+
+def _level(d: int, cap: int) -> str:
+    """Nodes met at depth ``d``: of those before, taken in order, each is
+    expanded unless ``cap`` nodes are known by then."""
+    return f"""
+    w{d} AS (SELECT f.pos, 0 AS side, -x.seq AS age, x.dst AS near FROM f{d - 1} f JOIN x ON x.src = f.id UNION ALL SELECT f.pos, 1, -x.seq, x.src FROM f{d - 1} f JOIN x ON x.dst = f.id),
+    o{d} AS (SELECT *, row_number() OVER (PARTITION BY near ORDER BY pos, side, age) AS r FROM w{d} WHERE near NOT IN (SELECT id FROM k{d - 1})),
+    g{d} AS (SELECT f.pos, (SELECT count(*) FROM k{d - 1}) + (SELECT count(*) FROM o{d} WHERE r = 1 AND o{d}.pos < f.pos) AS seen FROM f{d - 1} f),
+    n{d} AS (SELECT near AS id, row_number() OVER (ORDER BY pos, side, age, near) - 1 AS pos FROM o{d} WHERE r = 1 AND pos IN (SELECT pos FROM g{d} WHERE seen < {cap})),
+    f{d} AS (SELECT * FROM n{d} WHERE NOT EXISTS (SELECT 1 FROM g{d} WHERE seen >= {cap}) AND pos < {cap}),
+    k{d} AS (SELECT id, depth FROM k{d - 1} UNION ALL SELECT id, {d} FROM n{d})"""
+
+
+ORACLE["neighborhood_capped"] = (
+    f"WITH {_E}, x AS (SELECT * FROM e WHERE src IS NOT NULL AND dst IS NOT NULL), k0 AS (SELECT min(src) AS id, 0 AS depth FROM edges), f0 AS (SELECT id, 0 AS pos FROM k0), "
+    + ", ".join(_level(d, 50) for d in (1, 2, 3)) + " SELECT id, depth::INT AS depth FROM k3"
+)
+ORACLE["symbol_search"] = f"""WITH {_CUR}, f AS (SELECT id, 'name' AS field, {_WORDS.format('name')} AS w FROM cur UNION ALL SELECT id, 'fqname', {_WORDS.format('fqname')} FROM cur
+    UNION ALL SELECT id, 'file_text', {_WORDS.format('file')} FROM cur UNION ALL SELECT id, 'signature', coalesce({_WORDS.format('signature')}, []) FROM cur UNION ALL SELECT id, 'kind', list_filter([kind], lambda x: x IS NOT NULL) FROM cur),
+    ln AS (SELECT id, field, coalesce(len(w), 0) AS dl, len(list_filter(w, lambda x: x = CASE WHEN field = 'kind' THEN 'function' ELSE 'parser' END)) AS tf FROM f), st AS (SELECT field, count(*) AS n, avg(dl) AS av FROM ln GROUP BY field),
+    df AS (SELECT field, count(*) AS df FROM ln WHERE tf > 0 GROUP BY field)
+    SELECT id, round(sum({_BM25}), 4) AS score FROM ln JOIN df USING (field) JOIN st USING (field) WHERE tf > 0 GROUP BY id"""
+ORACLE["extract_status"] = f"""SELECT lang, CASE WHEN lang IS NULL THEN 'no_language' WHEN gone THEN 'unreadable' ELSE 'ok' END AS status, count(*) AS n FROM (SELECT DISTINCT content IS NULL AS gone, file,
+    CASE WHEN x IN ('c', 'h') THEN 'c' WHEN x IN ('js', 'jsx', 'mjs', 'cjs') THEN 'javascript' WHEN x IN ('ts', 'tsx') THEN 'typescript' WHEN x = 'py' THEN 'python' WHEN x = 'rs' THEN 'rust' WHEN x = 'go' THEN 'go' END AS lang
+    FROM (SELECT file, content, lower(regexp_extract(file, '[^/]\\.([^./]+)$', 1)) AS x FROM source_files WHERE file IS NOT NULL)) GROUP BY ALL"""

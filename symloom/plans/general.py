@@ -64,9 +64,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """A depth of -1 and no path where the way up ends in a circle."""
     out = forest.hierarchy(_links(spark, sf))
     path = F.array_join(F.transform("path", unpack_id), "/")
-    return out.select(F.col("tree").alias("kind"), unpack_id("node").alias("id"), unpack_id("root").alias("root"), "depth", "in_circle", path.alias("path"))
+    return out.select(F.col("tree").alias("kind"), unpack_id("node").alias("id"), unpack_id("root").alias("root"), F.coalesce("depth", F.lit(-1).cast("long")).alias("depth"), "in_circle", path.alias("path"))
 
 
 def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +140,8 @@ ORACLE = {
     "p4_found": _ORPHANS + "SELECT ref_table, ref_field, ref_seq FROM o",
     "p4_report": _ORPHANS + "SELECT ref_table, ref_field, strftime(t, '%Y-%m-%d') AS day, status, count(*) AS n FROM o GROUP BY ALL",
     "p6_found": _UP + "SELECT kind, id, coalesce(top, low) AS root FROM top",
+    "p6_paths": _UP + """, way AS (SELECT kind, id, string_agg(up.at, '/' ORDER BY d DESC) AS way FROM up GROUP BY kind, id)
+        SELECT kind, id, coalesce(top, low) AS root, coalesce(depth, -1)::BIGINT AS depth, ring AS in_circle, CASE WHEN top IS NOT NULL THEN way || '/' || id END AS path FROM top JOIN way USING (kind, id)""",
     "p6_descendants": _UP + "SELECT up.kind, up.at AS ancestor, up.id AS descendant, up.d AS distance FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL",
     "p6_sizes": _UP + "SELECT up.kind, up.at AS id, count(*) AS n_descendants, max(up.d) AS height FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL GROUP BY up.kind, up.at",
     "p6_all_descendants": _ALL_PAIRS + "SELECT * FROM pairs",

@@ -22,6 +22,7 @@ from symloom.extract.rules import Registry
 from symloom.extract.tables import PluginRegistry, extracted, references_of, symbols_of
 from symloom.functions.embedders import Embedder, HashEmbedder
 from symloom.operators import deltas, fulltext, graph, vectors
+from symloom.plans.scratch import Scratch
 from symloom.sources import fs
 
 TABLES = ("files", "symbols", "refs", "edges", "postings", "lengths", "stats", "vectors")
@@ -65,25 +66,45 @@ def open_index(spark: SparkSession, folder: str) -> Index:
 
 
 def with_positions(files: DataFrame, first: int = 0) -> DataFrame:
-    """``pos``: the place of each file in the order of paths. The files are
-    range-partitioned and numbered from the sizes of the parts, one number per
-    part, so no task sees all of them."""
-    parts = files.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = files.select("file").distinct().repartitionByRange(int(parts), "file").sortWithinPartitions("file").withColumn("part", F.spark_partition_id())
-    sizes = {r.part: r["count"] for r in ranged.groupBy("part").count().collect()}
+    """``pos``: the place of each file in the order of paths, from ``first`` on
+    without gaps. The names are range-partitioned, sorted and written once
+    with their place in their part, as a plan that runs twice draws the
+    bounds of its ranges anew; the sizes of the parts, one number each, then
+    say where each begins. A null name has no place and is left out."""
+    spark = files.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = files.select("file").where("file IS NOT NULL").distinct().repartitionByRange(parts, "file").sortWithinPartitions("file")
+    # the upper bits are the part, the lower ones the place in it
+    written = Scratch(spark, "positions").cut(ranged.withColumn("at", F.monotonically_increasing_id())).df
+    placed = written.select("file", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("n"))
+    sizes = placed.groupBy("part").agg((F.max("n") + 1).alias("n")).collect()
     before, offsets = first, []
-    for part in sorted(sizes):
-        offsets.append((part, before))
-        before += sizes[part]
-    start = files.sparkSession.createDataFrame(offsets or [(0, first)], "part int, start long")
-    numbered = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("file")) - 1).join(F.broadcast(start), "part")
-    return files.join(numbered.select("file", (F.col("start") + F.col("n")).alias("pos")), "file")
+    for r in sorted(sizes):
+        offsets.append((r.part, before))
+        before += r.n
+    start = spark.createDataFrame(offsets or [(0, first)], "part int, start long")
+    numbered = placed.join(F.broadcast(start), "part").select("file", (F.col("start") + F.col("n")).alias("pos"))
+    return files.join(numbered, "file")
+
+
+def newest_files(files: DataFrame) -> DataFrame:
+    """One row a file name: of several the one changed last, then the one of
+    the greatest content hash; null names are left out. Copies count once."""
+    order = [F.col(c) for c in ("mtime", "content_hash") if c in files.columns] or [F.xxhash64("content")]
+    rest = [c for c in files.columns if c != "file"]
+    # combined before the shuffle, so that a name borne by very many rows costs one
+    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("r")
+    return files.where("file IS NOT NULL").groupBy("file").agg(newest).select("file", "r.*")
 
 
 def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``src, dst, kind, seq``: references by name, in their order."""
+    """``src, dst, kind, seq``: references by name, in their order. Those that
+    come with an end (``dst``) need no name; they are kept if both ends are
+    known, once, and count as newer than all others."""
     asked = refs.withColumnRenamed("ord", "ref_seq")
-    return graph.resolve_references(asked, symbols).select("src", "dst", "kind", F.col("ref_seq").alias("seq"))
+    given = asked.where("dst IS NOT NULL").groupBy("src", "dst", "kind").agg(F.max("ref_seq").alias("seq"))
+    named = graph.resolve_references(asked.where("dst IS NULL"), symbols).select("src", "dst", "kind", F.col("ref_seq").alias("seq"))
+    return named.unionByName(graph.insert_edges(given, symbols))
 
 
 def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFrame, refs: DataFrame, vecs: DataFrame | None, state: dict, embedder: Embedder) -> Index:
@@ -115,11 +136,12 @@ def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFram
 def _extract(files: DataFrame, registry: Registry, plugins: PluginRegistry | None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files without contents, symbols, references of the given files."""
     done = extracted(files, registry)
-    symbols, refs = symbols_of(done), references_of(done)
+    symbols, refs = symbols_of(done), references_of(done).withColumn("dst", F.lit(None).cast("string"))
     if plugins and plugins.plugins:
         around = symbols if known is None else known.unionByName(symbols, allowMissingColumns=True)
         added = plugins.apply(files, around).distinct()
-        refs = refs.unionByName(added.select("src", "to_name", F.lower("to_name").alias("to_name_ci"), "kind", "file", F.xxhash64("src", "to_name", "kind").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1)).alias("ord")))
+        last = F.xxhash64("src", "to_name", "kind", "dst").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
+        refs = refs.unionByName(added.select("src", "to_name", F.lower("to_name").alias("to_name_ci"), "kind", "file", last.alias("ord"), "dst"))
     kept = files.select([c for c in files.columns if c not in ("content", "status")]).join(done.select("file", F.col("status").alias("status")), "file")
     return kept, symbols, refs
 
@@ -127,10 +149,21 @@ def _extract(files: DataFrame, registry: Registry, plugins: PluginRegistry | Non
 def build(spark: SparkSession, files: DataFrame, registry: Registry, folder: str, plugins: PluginRegistry | None = None, git_head: str | None = None, embedder: Embedder | None = None) -> Index:
     """A new index of ``files`` (``file, content, content_hash, ...``),
     replacing any that the folder holds."""
-    placed = with_positions(files.dropDuplicates(["file"]))
+    placed = with_positions(newest_files(files))
     return _write(spark, folder, *_extract(placed, registry, plugins), None, {"git_head": git_head}, embedder or HashEmbedder())
 
 
+def store(spark: SparkSession, files: DataFrame, symbols: DataFrame, refs: DataFrame, folder: str, vecs: DataFrame | None = None, git_head: str | None = None, embedder: Embedder | None = None) -> Index:
+    """An index of tables that were extracted elsewhere: ``files`` (``file,
+    status, ...``), current ``symbols`` (``id, lang, kind, name, fqname, file,
+    signature, doc, ord, ...``) and ``refs`` (``src, to_name, kind, file,
+    ord`` and, if known, ``dst``). Vectors are those given, else of names."""
+    if "dst" not in refs.columns:
+        refs = refs.withColumn("dst", F.lit(None).cast("string"))
+    named = symbols if "name_ci" in symbols.columns else symbols.withColumn("name_ci", F.lower("name"))
+    return _write(spark, folder, files, named, refs, vecs, {"git_head": git_head}, embedder or HashEmbedder())
+
+
 @dataclass
 class Refreshed:
     files_updated: int
@@ -148,6 +181,7 @@ def refresh(spark: SparkSession, files: DataFrame, registry: Registry, folder: s
     if old.state["embedder"] != embedder.name:
         raise RuntimeError(f"the index was made with {old.state['embedder']!r}; build it anew for {embedder.name!r}")
     before, old_files = old.symbols, old.table("files")
+    files = newest_files(files)
     diff = deltas.snapshot_diff(old_files, files, "file", "content_hash").persist()
     try:
         n = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
@@ -155,7 +189,7 @@ def refresh(spark: SparkSession, files: DataFrame, registry: Registry, folder: s
             return Refreshed(0, 0, 0, 0)
         touched = diff.select("file")
         last = old_files.agg(F.max("pos")).first()[0]
-        fresh = with_positions(files.dropDuplicates(["file"]).join(diff.where("change <> 'D'").select("file"), "file", "left_semi"), (last if last is not None else -1) + 1)
+        fresh = with_positions(files.join(diff.where("change <> 'D'").select("file"), "file", "left_semi"), (last if last is not None else -1) + 1)
         new_files, new_symbols, new_refs = _extract(fresh, registry, plugins, before.join(touched, "file", "left_anti"))
         keep = lambda df: df.join(touched, "file", "left_anti")
         symbols = keep(before).unionByName(new_symbols.select(*before.columns))
