@@ -7,6 +7,10 @@ remains are long chains and circles; they are shortened by pointer doubling
 of the depth in rounds. A doubled pointer that never reaches a top belongs to
 a circle. Peeled nodes then take root, depth and path from their parents in
 the reverse order of peeling.
+
+Subtree sizes go the other way: every node passes what it knows of the nodes
+below it to the node 1, 2, 4, 8 ... steps up, so that no list of descendants
+and no path is ever spread out for them.
 """
 
 from __future__ import annotations
@@ -22,10 +26,23 @@ from symloom.plans.scratch import Scratch, Table
 PEEL_SHARE = 0.2
 
 
-def _links(links: DataFrame) -> DataFrame:
-    """One parent per tree and node: of several, the smallest."""
+def _whole(links: DataFrame) -> DataFrame:
     ok = F.col("node").isNotNull() & F.col("parent").isNotNull() & F.col("tree").isNotNull()
-    return links.select("tree", "node", "parent").where(ok).groupBy("tree", "node").agg(F.min("parent").alias("parent"))
+    return links.select("tree", "node", "parent").where(ok)
+
+
+def _links(links: DataFrame) -> DataFrame:
+    """One parent per tree and node: of several, the smallest. What that
+    leaves out :func:`further_parents` has."""
+    return _whole(links).groupBy("tree", "node").agg(F.min("parent").alias("parent"))
+
+
+def further_parents(links: DataFrame) -> DataFrame:
+    """``tree, node, parent``: the links that :func:`hierarchy` does not follow,
+    as a node of a tree has one parent: of several all but the smallest, each
+    once. Links with a null are none; no links, no rows."""
+    followed = _links(links).withColumnRenamed("parent", "first")
+    return _whole(links).distinct().join(followed, ["tree", "node"]).where("parent <> first").drop("first")
 
 
 def _peel(core: Table, scratch: Scratch, peel_share: float, max_rounds: int) -> tuple[Table, list[Table]]:
@@ -123,7 +140,8 @@ def hierarchy(links: DataFrame, with_path: bool = True, peel_share: float = PEEL
     ends in a circle, ``root`` is the smallest id on it, ``depth`` and
     ``path`` are null and ``in_circle`` is true for the nodes on the circle
     themselves. Rows with a null are skipped, repeated links count once; of
-    several parents of a node the smallest is taken. No links, no rows.
+    several parents of a node the smallest is followed, and
+    :func:`further_parents` reports the others. No links, no rows.
     """
     scratch = Scratch(links.sparkSession, "forest")
     core, peeled = _peel(scratch.cut(_links(links), n=F.count(F.lit(1))), scratch, peel_share, max_rounds)
@@ -191,7 +209,40 @@ def descendants(paths: DataFrame) -> DataFrame:
     )
 
 
-def subtree_sizes(paths: DataFrame) -> DataFrame:
-    """Number of descendants of every node that has one in :func:`descendants`."""
-    return descendants(paths).groupBy("tree", "ancestor").agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
+def sound_links(links: DataFrame) -> DataFrame:
+    """The links of the nodes whose way up reaches a top."""
+    good = hierarchy(links, with_path=False).where("depth IS NOT NULL").select("tree", "node")
+    return links.join(good, ["tree", "node"], "left_semi")
+
+
+def subtree_sizes(links: DataFrame) -> DataFrame:
+    """``tree, ancestor, n_descendants, height`` of every node with nodes below
+    it, of links without circles (:func:`sound_links`, :func:`open_circles`);
+    a circle raises an error. Parents are chosen as in :func:`hierarchy`.
 
+    In round k a node knows how many nodes are less than 2^k steps below it
+    and passes that on to the node 2^k steps up, sums being combined before
+    they are shuffled; so there are as many rounds as the height has bits,
+    each over one row a node, and the rows do not grow with the depth.
+    """
+    scratch = Scratch(links.sparkSession, "sizes")
+    own = scratch.cut(_links(links), n=F.count(F.lit(1)))
+    tops = own.df.select("tree", F.col("parent").alias("node")).distinct().join(own.df.select("tree", "node"), ["tree", "node"], "left_anti")
+    nodes = own.df.select("tree", "node", F.col("parent").alias("up")).unionByName(tops.select("tree", "node", F.lit(None).cast(own.df.schema["parent"].dataType).alias("up")))
+    left = F.count("up")
+    now = scratch.cut(nodes.withColumn("size", F.lit(1).cast("long")).withColumn("height", F.lit(0).cast("long")), left=left)
+    step = 1
+    while now.seen["left"]:
+        if step > 2 * own.seen["n"]:
+            raise ValueError("the links run in a circle")
+        open_ = now.df.where("up IS NOT NULL")
+        given = open_.groupBy("tree", F.col("up").alias("node")).agg(F.sum("size").alias("more"), (F.max("height") + step).alias("deeper"))
+        ahead = now.df.select("tree", F.col("node").alias("up"), F.col("up").alias("up2")).where("up2 IS NOT NULL")
+        moved = now.df.join(ahead, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), "size", "height")
+        new = moved.join(given, ["tree", "node"], "left").select(
+            "tree", "node", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.greatest("height", F.coalesce("deeper", F.lit(0))).alias("height")
+        )
+        table = scratch.cut(new, left=left)
+        now.drop()
+        now, step = table, step * 2
+    return now.df.where("size > 1").select("tree", F.col("node").alias("ancestor"), (F.col("size") - 1).alias("n_descendants"), "height")

@@ -7,16 +7,18 @@ sum says how many intervals are open when a reference comes by.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.keys import BLANKS, clean_name, pack_id
+from symloom.plans.scratch import Scratch
 
-#: A key counts as hot from this many references and this share of them on;
-#: there are at most 1/HOT_SHARE such keys, which bounds what is broadcast.
-HOT_ROWS, HOT_SHARE, MAX_SALTS = 20_000, 0.002, 64
+#: References of one key that a task is to hold: a key with more is split into
+#: as many parts as that takes, however large its share is.
+PART_ROWS = 100_000
+#: The list of such keys (some 30 bytes each) is broadcast up to this length;
+#: beyond it, it is joined by a shuffle, in which skew of a key is split.
+BROADCAST_KEYS = 200_000
 
 
 def intervals(parents: DataFrame, key: Column, start: str = "indexed_at", end: str = "deleted_at") -> DataFrame:
@@ -35,21 +37,22 @@ def intervals(parents: DataFrame, key: Column, start: str = "indexed_at", end: s
     )
 
 
-def classify_references(refs: DataFrame, targets: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def classify_references(refs: DataFrame, targets: DataFrame, part_rows: int = PART_ROWS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Every row of ``refs`` (``key, t, ...``) with a ``status``.
 
     ``present``: a target interval holds ``t`` (start inclusive, end
     exclusive). ``deleted``: none does, but one began before. ``late``: all
     begin after ``t``. ``missing``: the key has no interval at all. Null keys
     are no references and dropped; a null ``t`` counts as after everything.
-    Column names other than key and t are passed through.
+    Column names other than key and t are passed through. The references of
+    a key are split into parts of about ``part_rows``; its intervals, which
+    :func:`intervals` has merged, go to each of them.
     """
     rest = [c for c in refs.columns if c not in ("key", "t")]
     refs = refs.where(F.col("key").isNotNull())
-    least = max(hot_rows, math.ceil(refs.count() * HOT_SHARE))
-    counts = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") * 2 / F.lit(least))).cast("int")
-    hot = F.broadcast(counts.where(F.col("n") >= least).select("key", salts.alias("n_salts")))  # at most 1 / HOT_SHARE rows
+    counts = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
+    split = Scratch(refs.sparkSession, "orphans").cut(counts.select("key", F.ceil(F.col("n") / F.lit(part_rows)).cast("int").alias("n_salts")), n=F.count(F.lit(1)))
+    hot = F.broadcast(split.df) if (split.seen["n"] or 0) <= broadcast_keys else split.df
     mine = refs.join(hot, "key", "left").select(
         "key",
         F.when(F.col("n_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest, "t"), F.col("n_salts"))).cast("int").alias("salt"),
@@ -86,7 +89,7 @@ def classify_references(refs: DataFrame, targets: DataFrame, hot_rows: int = HOT
 
 
 def orphans(
-    edges: DataFrame, refs: DataFrame, symbols: DataFrame, stdlib: DataFrame, hot_rows: int = HOT_ROWS
+    edges: DataFrame, refs: DataFrame, symbols: DataFrame, stdlib: DataFrame, part_rows: int = PART_ROWS
 ) -> DataFrame:
     """References without a target, of ``edges.dst``, ``refs.src`` and ``refs.to_name``.
 
@@ -115,7 +118,7 @@ def orphans(
     keyed = parents.select(
         F.explode(F.array(pack_id("id"), name_key("name"))).alias("key"), "indexed_at", "deleted_at"
     )
-    found = classify_references(asked, intervals(keyed, F.col("key")), hot_rows).where(F.col("status") != "present")
+    found = classify_references(asked, intervals(keyed, F.col("key")), part_rows).where(F.col("status") != "present")
     return found.select("ref_table", "ref_field", "ref_seq", "t", "status").distinct()
 
 

@@ -76,7 +76,7 @@ def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = forest.subtree_sizes(forest.hierarchy(_links(spark, sf)))
+    sizes = forest.subtree_sizes(forest.sound_links(_links(spark, sf)))
     return sizes.select(F.col("tree").alias("kind"), unpack_id("ancestor").alias("id"), "n_descendants", "height")
 
 
@@ -91,13 +91,25 @@ def p6_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_all_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = forest.subtree_sizes(_all_pairs(spark, sf))
+    sizes = forest.subtree_sizes(forest.open_circles(_links(spark, sf)))
     return sizes.select(F.col("tree").alias("kind"), unpack_id("ancestor").alias("id"), "n_descendants", "height")
 
 
+def p6_further_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """Links that the hierarchies do not follow, as the child has another parent."""
+    out = forest.further_parents(_links(spark, sf))
+    return out.select(F.col("tree").alias("kind"), unpack_id("node").alias("id"), unpack_id("parent").alias("parent"))
+
+
+def p6_supply(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where children do have several parents: suppliers of parts."""
+    links = table(spark, sf, "lineitem").select(F.lit("supply").alias("tree"), F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("parent"))
+    return forest.further_parents(links).select("node", "parent")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pair_stats, p2_caller_mode, p2_day_percentiles, p4_found, p4_report, p6_found, p6_paths, p6_descendants, p6_sizes, p6_all_descendants, p6_all_sizes)
+    for f in (p2_found, p2_pair_stats, p2_caller_mode, p2_day_percentiles, p4_found, p4_report, p6_found, p6_paths, p6_descendants, p6_sizes, p6_all_descendants, p6_all_sizes, p6_further_parents, p6_supply)
 }
 
 _KIND = "lower(trim(kind, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)))"
@@ -144,6 +156,8 @@ ORACLE = {
         SELECT kind, id, coalesce(top, low) AS root, coalesce(depth, -1)::BIGINT AS depth, ring AS in_circle, CASE WHEN top IS NOT NULL THEN way || '/' || id END AS path FROM top JOIN way USING (kind, id)""",
     "p6_descendants": _UP + "SELECT up.kind, up.at AS ancestor, up.id AS descendant, up.d AS distance FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL",
     "p6_sizes": _UP + "SELECT up.kind, up.at AS id, count(*) AS n_descendants, max(up.d) AS height FROM up JOIN top ON top.kind = up.kind AND top.id = up.id WHERE top.top IS NOT NULL GROUP BY up.kind, up.at",
+    "p6_further_parents": _UP + "SELECT e.kind, e.id, e.parent FROM e JOIN (SELECT kind, id, min(parent) AS first FROM e GROUP BY kind, id) f ON f.kind = e.kind AND f.id = e.id WHERE e.parent <> f.first",
+    "p6_supply": "SELECT DISTINCT l_partkey AS node, l_suppkey AS parent FROM lineitem JOIN (SELECT l_partkey AS k, min(l_suppkey) AS first FROM lineitem GROUP BY l_partkey) ON k = l_partkey WHERE l_suppkey <> first",
     "p6_all_descendants": _ALL_PAIRS + "SELECT * FROM pairs",
     "p6_all_sizes": _ALL_PAIRS + "SELECT kind, ancestor AS id, count(*) AS n_descendants, max(distance) AS height FROM pairs GROUP BY kind, ancestor",
 }

@@ -93,8 +93,8 @@ def brute_orphans(edges, refs, symbols):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [20_000, 20])
-def test_orphans_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("part_rows", [100_000, 20, 3])
+def test_orphans_brute_force(spark, part_rows):
     rng = random.Random(3)
     ids = ["%032x" % i for i in range(12)] + ["odd id"]
     names = ["Run", "<run>", " 'run' ", "stop", None, "", "  ", "other"]
@@ -104,7 +104,7 @@ def test_orphans_brute_force(spark, hot_rows):
     edges, refs, symbols = edges + edges[:30], refs + refs[:30], symbols + symbols[:5]
     frames = [spark.createDataFrame(r, s) for r, s in ((edges, EDGES), (refs, REFS), (symbols, SYMBOLS), ([], SYMBOLS))]
     frames[0] = frames[0].withColumn("t", F.lit(1)).withColumn("key", F.lit("x")).withColumn("status", F.lit(1))
-    got = [(r.ref_table, r.ref_field, r.ref_seq, r.status) for r in orphans.orphans(*frames, hot_rows=hot_rows).collect()]
+    got = [(r.ref_table, r.ref_field, r.ref_seq, r.status) for r in orphans.orphans(*frames, part_rows=part_rows).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_orphans(edges, refs, symbols)
     report = orphans.orphan_report(orphans.orphans(*frames)).collect()
@@ -166,12 +166,37 @@ def test_hierarchy_brute_force(spark, links, peel_share):
     assert pairs == Counter((t, a, n, len(v[3]) - 1 - i) for (t, n), v in want.items() if v[3] for i, a in enumerate(v[3][:-1]))
 
 
+@pytest.mark.parametrize("links", list(shapes()))
+def test_sizes_brute_force(spark, links):
+    df = spark.createDataFrame(links, "tree string, node string, parent string").withColumn("size", F.lit(1)).withColumn("up", F.lit(1))
+    below: dict = {}
+    for (tree, node), v in brute_forest(links).items():
+        for i, a in enumerate((v[3] or [])[:-1]):
+            below.setdefault((tree, a), []).append(len(v[3]) - 1 - i)
+    rows = forest.subtree_sizes(forest.sound_links(df)).collect()
+    assert {(r.tree, r.ancestor): (r.n_descendants, r.height) for r in rows} == {k: (len(d), max(d)) for k, d in below.items()}
+    assert len(rows) == len(below)
+
+
+def test_sizes_refuse_circles(spark):
+    with pytest.raises(ValueError, match="circle"):
+        forest.subtree_sizes(spark.createDataFrame([("a", "p", "q"), ("a", "q", "p")], "tree string, node string, parent string"))
+
+
+def test_further_parents(spark):
+    rows = [("a", "n", "q"), ("a", "n", "p"), ("a", "n", "p"), ("a", "n", "r"), ("b", "n", "q"), ("a", None, "x"), ("a", "m", None)]
+    df = spark.createDataFrame(rows, "tree string, node string, parent string")
+    assert sorted(map(tuple, forest.further_parents(df).collect())) == [("a", "n", "q"), ("a", "n", "r")]
+    assert {(r.tree, r.node): r.parent for r in forest.hierarchy(df).collect()} == {("a", "n"): "p", ("b", "n"): "q"}
+
+
 def test_subtrees_below_a_circle(spark):
     links = [("a", f"c{i}", f"c{(i + 1) % 3}") for i in range(3)] + [("a", "t0", "c1"), ("a", "t1", "t0"), ("a", "u", "t0"), ("a", "p", "p"), ("a", "q", "p"), ("a", "x", "top"), ("b", "c0", "top")]
     df = spark.createDataFrame(links, "tree string, node string, parent string")
-    paths = forest.hierarchy(forest.open_circles(df))
+    opened = forest.open_circles(df)
+    paths = forest.hierarchy(opened)
     pairs = sorted((r.tree, r.ancestor, r.descendant, r.distance) for r in forest.descendants(paths).collect())
     below = [("a", "c1", "t0", 1), ("a", "c1", "t1", 2), ("a", "c1", "u", 2), ("a", "p", "q", 1), ("a", "t0", "t1", 1), ("a", "t0", "u", 1)]
     assert pairs == sorted([*below, ("a", "top", "x", 1), ("b", "top", "c0", 1)])
-    sizes = {(r.tree, r.ancestor): (r.n_descendants, r.height) for r in forest.subtree_sizes(paths).collect()}
+    sizes = {(r.tree, r.ancestor): (r.n_descendants, r.height) for r in forest.subtree_sizes(opened).collect()}
     assert sizes == {("a", "c1"): (3, 2), ("a", "p"): (1, 1), ("a", "t0"): (2, 1), ("a", "top"): (1, 1), ("b", "top"): (1, 1)}
