@@ -1,12 +1,13 @@
 """Which source files were not written by hand in their own project.
 
 Three kinds of signs are joined. *Declared*: attribute files of a repository
-mark paths as generated or vendored; globs are resolved per directory, the
-deeper file and the later line winning. *Evidence*: what a file's content
+mark paths as generated or vendored; globs are resolved per directory and
+attribute, the deeper file and the later line winning. *Evidence*: what a file's content
 shows (a notice of a tool or of its origin at the top or the end, minified or bundled code,
 nothing but data). *Mined*: path patterns (directory names before a package
-directory, double file extensions, ...) that declarations and evidence keep
-hitting in several projects are applied to all repositories.
+directory, double file extensions, ...) and wordings of notices that
+declarations and evidence keep hitting in several projects are applied to all
+repositories.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 import pyarrow as pa
 import regex as re
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.plans.scratch import Scratch
+from symloom.plans.tables import spread
 
 ATTRIBUTE_FILE = ".gitattributes"
 
 #: A path pattern is mined if at least so many files with a sign show it, in
 #: so many projects, and this share of the files that it hits has a sign.
 MIN_FILES, MIN_PROJECTS, MIN_SHARE = 3, 2, 0.4
+#: The same of a wording, which is so many words in a row of a leading or trailing comment.
+NOTICE_FILES, NOTICE_PROJECTS, NOTICE_SHARE, NOTICE_WORDS = 10, 3, 0.8, 4
 #: A pattern that some project's configuration excludes needs less support.
 EXCLUDED_FILES, EXCLUDED_SHARE = 1, 0.25
 
@@ -208,14 +213,16 @@ def is_package(directory: str | None, holders: list[str]) -> bool:
     return bool(directory) and (name != directory or name.lower() in holders)
 
 
-def glob_regex(pattern: str, base: str = "") -> re.Pattern | None:
-    """An attribute or exclude glob below directory ``base``; null if malformed.
+def glob_regex(pattern: str, base: str = "", below: bool = True) -> re.Pattern | None:
+    """A glob below directory ``base``; null if malformed.
 
     A pattern without an inner slash matches at any depth; ``**`` crosses
-    directories, ``*`` and ``?`` do not; a directory pattern covers all below.
+    directories, ``*`` and ``?`` do not. An exclude glob (``below``) covers
+    what is below a directory that it matches and knows braces; an attribute
+    glob speaks of files only, so that one that ends in a slash hits nothing.
     """
     p = pattern.strip()
-    if not p or p.count("[") != p.count("]") or p.count("{") != p.count("}"):
+    if not p or p.count("[") != p.count("]") or (below and p.count("{") != p.count("}")) or (not below and p.endswith("/")):
         return None
     anchored = "/" in p.rstrip("/")
     p = p.strip("/")
@@ -234,59 +241,92 @@ def glob_regex(pattern: str, base: str = "") -> re.Pattern | None:
             if j < 0:
                 return None
             out, i = out + fnmatch.translate(p[i : j + 1]).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z"), j + 1
-        elif p[i] == "{":
+        elif p[i] == "\\" and not below and i + 1 < len(p):
+            out, i = out + re.escape(p[i + 1]), i + 2
+        elif p[i] == "{" and below:
             j = p.index("}", i)
             out, i = out + "(?:" + "|".join(re.escape(x) for x in p[i + 1 : j].split(",")) + ")", j + 1
         else:
             out, i = out + re.escape(p[i]), i + 1
     prefix = re.escape(base + "/") if base else ""
     try:
-        return re.compile(prefix + ("" if anchored else "(?:.*/)?") + out + "(?:/.*)?")
+        return re.compile(prefix + ("" if anchored else "(?:.*/)?") + out + ("(?:/.*)?" if below else ""))
     except re.error:
         return None
 
 
-def parse_attributes(path: str, data: bytes | None) -> list[tuple[str, str, int, int, bool]]:
-    """``(base, pattern, depth, line, marked)`` of the generated and vendored
-    marks in an attribute file; an unset or false mark has ``marked`` false."""
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"(?:\s+|$)(.*)')
+MARKS = ("linguist-generated", "linguist-vendored")
+
+
+def parse_attributes(path: str, data: bytes | None) -> list[tuple[str, str, int, int, str, bool | None]]:
+    """``(base, pattern, depth, line, name, state)`` of every attribute in an
+    attribute file: set, unset (or false), or null where it is taken back to
+    be unspecified. Patterns may be quoted. A line that defines a macro has
+    the pattern ``[attr]`` and the macro's name behind it."""
     base = path.rpartition("/")[0]
     out = []
     for n, line in enumerate((data or b"").decode("utf-8", "replace").splitlines()):
-        words = line.split()
-        if not words or words[0].startswith("#"):
+        line = line.strip()
+        if not line or line.startswith("#"):
             continue
-        for word in words[1:]:
+        if m := _QUOTED.match(line):
+            pattern, words = re.sub(r"\\(.)", r"\1", m[1]), m[2].split()
+        else:
+            pattern, *words = line.split()
+        for word in words:
             name, _, value = word.lstrip("-!").partition("=")
-            if name in ("linguist-generated", "linguist-vendored"):
-                marked = not word.startswith(("-", "!")) and value.lower() != "false"
-                out.append((base, words[0], base.count("/") + bool(base), n, marked))
+            state = None if word.startswith("!") else not word.startswith("-") and value.lower() != "false"
+            out.append((base, pattern, base.count("/") + bool(base), n, name, state))
     return out
 
 
-_SCAN = "file string, project string, sign string, by_hand boolean, features array<struct<name:string,decides:boolean>>, owned array<string>"
+_SCAN = "file string, project string, sign string, by_hand boolean, features array<struct<name:string,decides:boolean>>, owned array<string>, notices array<bigint>, age timestamp_ntz, digest bigint"
+
+
+_WORDING = re.compile(r"\p{L}[\p{L}']*")
+_SPECIAL = re.compile(r"\S*[\d/_.@]\S*")
+
+
+def wordings(data: bytes | None) -> list[int]:
+    """Hashes of the words in a row of a file's leading and trailing comments,
+    without names, numbers and links."""
+    text = (data or b"").decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff")
+    out = set()
+    for part in (leading_comments(text), trailing_comments(text)):
+        words = _WORDING.findall(_SPECIAL.sub(" ", part).lower())
+        out |= {xxhash.xxh64_intdigest(" ".join(words[i : i + NOTICE_WORDS])) - (1 << 63) for i in range(len(words) - NOTICE_WORDS + 1)}
+    return sorted(out)
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for path, data, age, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             sign, by_hand, holders = evidence(data)
             features = path_features(path)
             owned = [f for f, _ in features if f.startswith("pkg:") and is_package(behind(path, f), holders)]
-            rows.append((path, path.split("/")[0], sign, by_hand, [{"name": f, "decides": d} for f, d in features], owned))
+            rows.append((path, path.split("/")[0], sign, by_hand, [{"name": f, "decides": d} for f, d in features], owned, wordings(data), age, digest))
         yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema=_ARROW)
 
 
-_NAMES = ["file", "project", "sign", "by_hand", "features", "owned"]
+_NAMES = ["file", "project", "sign", "by_hand", "features", "owned", "notices", "age", "digest"]
 _ARROW = pa.schema(
     [("file", pa.string()), ("project", pa.string()), ("sign", pa.string()), ("by_hand", pa.bool_()),
-     ("features", pa.list_(pa.struct([("name", pa.string()), ("decides", pa.bool_())]))), ("owned", pa.list_(pa.string()))]
+     ("features", pa.list_(pa.struct([("name", pa.string()), ("decides", pa.bool_())]))), ("owned", pa.list_(pa.string())),
+     ("notices", pa.list_(pa.int64())), ("age", pa.timestamp("us")), ("digest", pa.int64())]
 )
 
 
 def scan_files(files: DataFrame) -> DataFrame:
-    """Evidence and path features of each distinct file, whole contents read."""
-    return files.select("file", F.col("content").cast("binary").alias("content")).where(F.col("file").isNotNull()).mapInArrow(_scan, _SCAN)
+    """Evidence and path features of each file, whole contents read where they
+    lie; of several rows of a name the one changed last counts, of equally old
+    ones that of the greatest hash. Contents are not shuffled."""
+    age = F.col("mtime") if "mtime" in files.columns else F.lit(None)
+    rows = files.select("file", F.col("content").cast("binary").alias("content"), age.cast("timestamp_ntz").alias("age"), F.xxhash64("content").alias("digest"))
+    scanned = spread(rows.where(F.col("file").isNotNull()), "file").mapInArrow(_scan, _SCAN)
+    rest = [c for c in _NAMES if c not in ("file", "age", "digest")]
+    return scanned.groupBy("file").agg(F.max_by(F.struct(*rest), F.struct("age", "digest")).alias("r")).select("file", "r.*")
 
 
 def mined_features(scanned: DataFrame, configs: DataFrame) -> DataFrame:
@@ -311,11 +351,13 @@ def mined_features(scanned: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def _declared(files: DataFrame) -> DataFrame:
-    """``file, marked`` of the files that attribute files speak about: the
-    deepest file's last matching line decides."""
-    @F.pandas_udf("array<struct<base:string,pattern:string,depth:int,line:int,marked:boolean>>")
+    """``file, marked`` of the files that attribute files speak about: of each
+    attribute the deepest file's last matching line decides, and a file is
+    marked if one of the two is set, unmarked if one is unset and none set.
+    Macros hold below the directory whose attribute file defines them."""
+    @F.pandas_udf("array<struct<base:string,pattern:string,depth:int,line:int,name:string,state:boolean>>")
     def parse(path: pd.Series, data: pd.Series) -> pd.Series:
-        keys = ("base", "pattern", "depth", "line", "marked")
+        keys = ("base", "pattern", "depth", "line", "name", "state")
         return pd.Series([[dict(zip(keys, r, strict=True)) for r in parse_attributes(p, d)] for p, d in zip(path, data, strict=True)])
 
     @F.pandas_udf("boolean")
@@ -324,35 +366,55 @@ def _declared(files: DataFrame) -> DataFrame:
         out = []
         for p, b, g in zip(path, base, pattern, strict=True):
             if (b, g) not in known:
-                known[b, g] = glob_regex(g, b)
+                known[b, g] = glob_regex(g, b, False)
             out.append(bool(known[b, g] and known[b, g].fullmatch(p)))
         return pd.Series(out)
 
-    rules = (
-        files.where(F.element_at(F.split("file", "/"), -1) == ATTRIBUTE_FILE)
-        .select("file", "content").distinct()
-        .select(F.explode(parse("file", F.col("content").cast("binary"))).alias("r")).select("r.*")
-    )
-    # each file meets only the rules of the directories above it, from the top ("") on
-    above = files.select("file").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.size(F.split("file", "/")) - 1)))
-    above = above.withColumn("base", F.array_join(F.slice(F.split("file", "/"), F.lit(1), F.col("n")), "/"))
-    met = above.join(rules, "base").where(matches("file", "base", "pattern"))
-    return met.groupBy("file").agg(F.max_by("marked", F.struct("depth", "line")).alias("marked"))
+    def above(df: DataFrame, path: str) -> DataFrame:
+        """Each row with every directory above its path, from the top ("") on."""
+        parts = F.split(path, "/")
+        n = F.explode(F.sequence(F.lit(0), F.size(parts) - 1))
+        return df.withColumn("_n", n).withColumn("base", F.array_join(F.slice(parts, F.lit(1), F.col("_n")), "/")).drop("_n")
+
+    own = files.where(F.element_at(F.split("file", "/"), -1) == ATTRIBUTE_FILE)
+    order = F.struct(F.col("mtime") if "mtime" in files.columns else F.lit(0), F.xxhash64("content"))
+    newest = own.groupBy("file").agg(F.max_by(F.struct("content"), order).alias("r")).select("file", F.col("r.content").cast("binary").alias("content"))
+    lines = newest.select("file", F.explode(parse("file", "content")).alias("r")).select("file", "r.*")
+    plain = lines.where(~F.col("pattern").startswith("[attr]"))
+    macros = lines.where(F.col("pattern").startswith("[attr]") & F.col("name").isin(*MARKS)).select("base", F.substring("pattern", 7, 1 << 20).alias("macro"), F.col("name").alias("mark"), F.col("state").alias("given"))
+    uses = above(plain.withColumnRenamed("base", "at"), "file").join(macros, "base").where(F.col("name") == F.col("macro"))
+    by_macro = uses.where(F.col("state").isNull() | F.col("state")).select(F.col("at").alias("base"), "pattern", "depth", "line", F.col("mark").alias("name"), F.when(F.col("state"), F.col("given")).alias("state"))
+    rules = plain.where(F.col("name").isin(*MARKS)).select("base", "pattern", "depth", "line", "name", "state").unionByName(by_macro)
+    # each file meets only the rules of the directories above it
+    met = above(files.select("file").where("file IS NOT NULL").distinct(), "file").join(rules, "base").where(matches("file", "base", "pattern"))
+    final = met.groupBy("file", "name").agg(F.max_by(F.struct("state"), F.struct("depth", "line")).alias("r"))
+    return final.groupBy("file").agg(F.max("r.state").alias("marked"))
+
+
+def mined_notices(scanned: DataFrame, foreign: DataFrame) -> DataFrame:
+    """``notice``: the wordings that files known to be foreign keep bearing, in
+    several projects, and others hardly do."""
+    told = scanned.where(~F.col("by_hand")).select("file", "project", F.explode("notices").alias("notice"))
+    hits = told.join(foreign.select("file", F.lit(1).alias("hit")), "file", "left")
+    per_project = hits.groupBy("notice", "project").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("k"))
+    per_notice = per_project.groupBy("notice").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k") > 0).alias("projects"))
+    return per_notice.where((F.col("k") >= NOTICE_FILES) & (F.col("projects") >= NOTICE_PROJECTS) & (F.col("k") >= F.col("n") * NOTICE_SHARE)).select("notice")
 
 
 def foreign_files(files: DataFrame, configs: DataFrame) -> DataFrame:
     """``file, reason`` of every file not written by hand in its own project.
 
     ``reason``: ``declared`` (an attribute file marks it), ``tool``,
-    ``origin``, ``minified``, ``data`` (its content shows it) or ``pattern``
-    (a mined path pattern). A file that says it is written by hand, or whose
+    ``origin``, ``minified``, ``data`` (its content shows it), ``pattern``
+    (a mined path pattern) or ``notice`` (a mined wording). A file that says it is written by hand, or whose
     mark an attribute file takes back, is no case. Exclude patterns of
     ``configs`` count as hints only, as they hit hand-written files too: such
     a pattern is taken over if the files it hits anywhere show signs.
-    Copies give one row; null or empty contents are judged by their path;
+    Copies give one row, of different contents of a name the newest counts; null or empty contents are judged by their path;
     a null file name is skipped; empty tables give no rows.
     """
-    scanned = Scratch(files.sparkSession, "provenance").cut(scan_files(files.dropDuplicates(["file"]))).df
+    scratch = Scratch(files.sparkSession, "provenance")
+    scanned = scratch.cut(scan_files(files)).df
     names = scanned.select("file", F.explode("features").alias("f")).where("f.decides").select("file", F.col("f.name").alias("name"))
     by_path = names.join(mined_features(scanned, configs), "name").select("file").distinct().withColumn("pattern", F.lit(True))
     joined = scanned.select("file", "sign", "by_hand").join(by_path, "file", "left").join(_declared(files), "file", "left")
@@ -362,7 +424,11 @@ def foreign_files(files: DataFrame, configs: DataFrame) -> DataFrame:
         .when(F.col("sign").isNotNull(), F.col("sign"))
         .when(F.col("pattern"), "pattern")
     )
-    return joined.select("file", reason.alias("reason")).where(F.col("reason").isNotNull())
+    found = scratch.cut(joined.select("file", reason.alias("reason"), (F.col("marked").isNull() & ~F.col("by_hand")).alias("open"))).df
+    foreign = found.where("reason IS NOT NULL").select("file", "reason")
+    told = scanned.select("file", F.explode("notices").alias("notice")).join(mined_notices(scanned, foreign), "notice").select("file").distinct()
+    by_notice = found.where("reason IS NULL AND open").join(told, "file", "left_semi").select("file", F.lit("notice").alias("reason"))
+    return foreign.unionByName(by_notice)
 
 
 def _excluded(configs: DataFrame) -> DataFrame:

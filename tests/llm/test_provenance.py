@@ -75,6 +75,34 @@ def test_attribute_file_at_the_top(spark):
     assert run(spark, files) == {"a.js": "declared", "r/b.js": "declared", "lib/x/y.c": "declared"}
 
 
+def test_attribute_details(spark):
+    lines = [
+        "[attr]foreign linguist-vendored -text", "lib/* linguist-vendored", "*.gen.c linguist-generated", "*.gen.c -linguist-vendored", '"a b/\\"x.js" linguist-generated',
+        "out/ linguist-generated", "ext/** foreign", "ext/own.js -linguist-vendored", "both.js linguist-generated linguist-vendored", "both.js -linguist-generated", "sub/s.js linguist-generated",
+    ]
+    files = [
+        ("r/.gitattributes", f("\n".join(lines))), ("r/sub/.gitattributes", f("t.js foreign\ns.js !linguist-generated\nv.js -foreign\n")), ("r/lib/a.py", b"x"), ("r/lib/deep/y.py", b"x"), ("r/lib/k.gen.c", b"x"), ("r/k.gen.c", b"x"),
+        ('r/a b/"x.js', b"x"), ("r/out/z.py", b"x"), ("r/ext/d/e.js", b"x"), ("r/ext/own.js", b"x"), ("r/both.js", b"x"), ("r/sub/t.js", b"x"), ("r/sub/s.js", b"x"), ("r/sub/v.js", b"x"), ("s/t.js", b"x"),
+    ]
+    assert set(run(spark, files)) == {"r/lib/a.py", "r/k.gen.c", "r/lib/k.gen.c", 'r/a b/"x.js', "r/ext/d/e.js", "r/both.js", "r/sub/t.js"}
+
+
+def test_mined_wording(spark):
+    head = "// This unit comes straight out of the schema press, look there first ({0}).\n"
+    known = [(f"p{i % 4}/src/a{i}.pb.go", f(head.format(i) + CODE)) for i in range(12)]
+    plain = [(f"p{i % 4}/src/b{i}.js", f(CODE)) for i in range(12)]
+    asked = [("q/src/c.js", f(head.format("x") + CODE)), ("q/src/d.js", f("// Written by hand. This unit comes straight out of the schema press.\n" + CODE))]
+    got = run(spark, known + plain + asked)
+    assert got == {a: "pattern" for a, _ in known} | {"q/src/c.js": "notice"}
+    assert run(spark, known[:9] + plain + asked) == {a: "pattern" for a, _ in known[:9]}
+
+
+def test_newest_content_counts(spark):
+    rows = [("p/a.js", f(CODE), 2), ("p/a.js", f("// @generated\n"), 1), ("p/b.js", f("// @generated\n"), 2), ("p/b.js", f(CODE), None)]
+    df = spark.createDataFrame(rows, "file string, content binary, m int").selectExpr("file", "content", "timestamp_seconds(m) AS mtime")
+    assert [r.file for r in pv.foreign_files(df, spark.createDataFrame([], CONFIGS)).collect()] == ["p/b.js"]
+
+
 def test_globs():
     def hit(pattern, path, base=""):
         found = pv.glob_regex(pattern, base)
