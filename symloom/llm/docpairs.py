@@ -1,10 +1,10 @@
 """Functions paired with the documentation written for them.
 
 Source text is read with an island grammar per language: comments, strings,
-annotations, declarations and balanced bodies are recognised, everything else
-is water and skipped. Islands carry byte offsets and meet the symbols of the
-index by file and offset, so no file is parsed as a whole and broken syntax
-costs only the island it is in.
+annotations, declarations with their parameters and balanced (or indented)
+bodies are recognised, everything else is water and skipped. Islands carry
+byte offsets and meet the symbols of the index by file and offset, so no file
+is parsed as a whole and broken syntax costs only the island it is in.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symloom.functions.keys import clean_kind
+from symloom.plans.tables import spread
 
 #: Words of prose that make a documentation real.
 MIN_WORDS = 6
@@ -135,22 +136,30 @@ class Grammar(NamedTuple):
     annotation: str
     modifiers: str
     callable: str  # a variable that holds a function, up to its value
+    head: str  # a function behind its modifiers, up to its parameters
 
 
 _SLASH = r"/\*.*?\*/|//[^\n]*"
 _DQ, _SQ, _BQ, _CHAR = r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'", r"`(?:[^`\\]|\\.)*`", r"'(?:[^'\\\n]|\\[^\n]{1,8})'"
 _AT = r"@[\w.$]+"
+_TYPES = r"(?:<[^{};]*?>)?"
 _SCRIPT = Grammar(
     _SLASH, f"{_DQ}|{_SQ}|{_BQ}", _AT, r"export|default|declare|abstract|public|private|protected|static|readonly|async",
     r"(?:const|let|var)\s+[\w$]+\s*(?::[^=;\n]*?)?=\s*(?:async\s*)?(?:function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=;{]+?)?\s*=>|[\w$]+\s*=>)",
+    rf"(?:(?:const|let|var)\s+)?(?P<held>[\w$]+)\s*(?::[^=;\n]*?)?=\s*(?:async\s*)?(?:(?:function\s*\*?\s*[\w$]*\s*{_TYPES}\s*)?(?=\()|[\w$]+\s*(?==>))"
+    rf"|(?:function\b\s*\*?|get\s+|set\s+|\*)?\s*(?!(?:if|for|while|switch|catch|return|else|do|with|new|await|function)\b)(?P<name>[\w$#]+)\s*{_TYPES}\s*(?=\()",
 )
 GRAMMARS = {
     "javascript": _SCRIPT,
     "typescript": _SCRIPT,
-    "go": Grammar(_SLASH, f"{_DQ}|`[^`]*`|{_CHAR}", r"(?!)", r"(?!)", r"(?:var|const)?\s*\w+\s*(?:=|:=)\s*func\b"),
-    "rust": Grammar(_SLASH, f"{_DQ}|{_CHAR}", r"#!?\[", r"pub(?:\([^)]*\))?|async|unsafe|const|extern|default", r"(?:pub\s+)?(?:let|static|const)\s+(?:mut\s+)?\w+\s*(?::[^=;\n]*)?=\s*(?:move\s*)?\|"),
-    "c": Grammar(_SLASH, f"{_DQ}|{_CHAR}", r"__attribute__|\[\[", r"static|inline|extern|const", r"(?!)"),
-    "python": Grammar(r"\#[^\n]*", r"[rRuUbBfF]{0,2}(?:\"\"\".*?\"\"\"|'''.*?'''|" + f"{_DQ}|{_SQ})", _AT, r"async", r"\w+\s*(?::[^=\n]*)?=\s*lambda\b"),
+    "go": Grammar(_SLASH, f"{_DQ}|`[^`]*`|{_CHAR}", r"(?!)", r"(?!)", r"(?:var|const)?\s*\w+\s*(?:=|:=)\s*func\b",
+        r"func\s*(?:\([^()]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\]\s*)?(?=\()|(?:(?:var|const)\s+)?(?P<held>\w+)\s*:?=\s*func\s*(?=\()"),
+    "rust": Grammar(_SLASH, f"{_DQ}|{_CHAR}", r"#!?\[", r"pub(?:\([^)]*\))?|async|unsafe|const|extern|default", r"(?:pub\s+)?(?:let|static|const)\s+(?:mut\s+)?\w+\s*(?::[^=;\n]*)?=\s*(?:move\s*)?\|",
+        rf"fn\s+(?P<name>\w+)\s*{_TYPES}\s*(?=\()|(?:let|static|const)\s+(?:mut\s+)?(?P<held>\w+)\s*(?::[^=;\n]*)?=\s*(?:move\s*)?\|[^|\n]*\|"),
+    "c": Grammar(_SLASH, f"{_DQ}|{_CHAR}", r"__attribute__|\[\[", r"static|inline|extern|const", r"(?!)",
+        r"(?:(?!(?:return|else|typedef|if|for|while|switch|do|case|goto)\b)[A-Za-z_]\w*(?:\s+|\s*\*+\s*))+(?P<name>\w+)\s*(?=\()"),
+    "python": Grammar(r"\#[^\n]*", r"[rRuUbBfF]{0,2}(?:\"\"\".*?\"\"\"|'''.*?'''|" + f"{_DQ}|{_SQ})", _AT, r"async", r"\w+\s*(?::[^=\n]*)?=\s*lambda\b",
+        r"def\s+(?P<name>\w+)\s*(?:\[[^\]]*\]\s*)?(?=\()|(?P<held>\w+)\s*(?::[^=\n]*)?=\s*lambda\b"),
 }
 EXTENSIONS = {
     "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go",
@@ -168,6 +177,9 @@ def _islands_of(lang: str) -> tuple[re.Pattern, ...]:
         re.compile(f"(?:{g.modifiers})\\s+"),
         re.compile(rf"(?m)^[ \t]*(?P<decl>(?:export\s+)?(?:default\s+)?{g.callable})"),
         re.compile(rf"{g.string}|{g.comment}|[()\[\]{{}}]", re.S),
+        re.compile(g.head),
+        re.compile(rf"(?m)^[ \t]*(?P<decl>(?:(?:{g.modifiers})\s+)*(?:{g.head}))"),
+        re.compile(rf"{g.string}|{g.comment}|=>|[()\[\]{{}};:\n]", re.S),
     )
 
 
@@ -191,6 +203,152 @@ _DEF = re.compile(r"(?m)^[ \t]*(?P<decl>(?:async[ \t]+)?def[ \t]+\w+[ \t]*)(?=[(
 _BODY = re.compile(r"[^:\n]*:(?:[ \t]*(?:\#[^\n]*)?\r?\n)*[ \t]*")
 
 
+def raw(part: str) -> str:
+    return part.encode("latin-1").decode("utf-8", "replace")
+
+
+def places(text: str, at: int, lang: str) -> tuple[list[int], int]:
+    """Where the declaration at an offset may be said to begin: there, or
+    behind annotations and modifiers; and where its annotations end."""
+    _, annotation, modifiers, _, tokens, *_ = _islands_of(lang)
+    out = [at]
+    while m := annotation.match(text, at):
+        at = m.end()
+        if text[at - 1] == "[":
+            at = balanced(text, at - 1, tokens)
+        elif text[at : at + 1] == "(":
+            at = balanced(text, at, tokens)
+        at = _GAP.match(text, at).end()
+        out.append(at)
+    begin = at
+    while m := modifiers.match(text, at):
+        at = m.end()
+        out.append(at)
+    return out, begin
+
+
+class Declaration(NamedTuple):
+    """A function: its name, where its signature begins and ends, where it ends."""
+
+    name: str
+    start: int
+    body: int
+    end: int
+
+
+def _block_end(text: str, line: int, colon: int, lang: str) -> int:
+    """The end of a Python block whose header ends with a colon: its line, or
+    the lines that are indented more than the header's."""
+    masked = _islands_of(lang)[0]
+    own = len(text[line:]) - len(text[line:].lstrip(" \t"))
+    stop = text.find("\n", colon)
+    stop = len(text) if stop < 0 else stop
+    rest = text[colon + 1 : stop].strip()
+    if rest and not rest.startswith("#"):
+        return stop
+    end, at, opened = stop, stop + 1, 0
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        row = text[at:stop]
+        if at >= opened and row.strip():
+            if len(row) - len(row.lstrip(" \t")) <= own:
+                break
+            for m in masked.finditer(text, at, len(text)):  # a string may run over several lines
+                if m.start() >= stop:
+                    break
+                opened = max(opened, m.end())
+        if row.strip():
+            end = stop
+        at = stop + 1
+    return max(end, min(opened, len(text)))
+
+
+def declaration(text: str, at: int, lang: str) -> Declaration | None:
+    """The function declared at an offset (or behind annotations and modifiers
+    there): head, balanced parameters, what is between them and the body, and
+    the body: balanced braces, an expression, or an indented block."""
+    *_, tokens, head, _, marks = _islands_of(lang)
+    where, begin = places(text, at, lang)
+    m = next((m for p in reversed(where) if (m := head.match(text, p))), None)
+    if m is None:
+        return None
+    name = m.groupdict().get("name") or m.groupdict().get("held") or ""
+    pos = balanced(text, m.end(), tokens) if text[m.end() : m.end() + 1] == "(" else m.end()
+    closure = lang == "rust" and m.groupdict().get("held") is not None
+    typed = False  # behind the colon of a type, before any of it
+    while n := marks.search(text, pos):
+        c, pos = n.group(), n.end()
+        between = text[pos - len(c) - 40 : n.start()].rstrip()[-1:]
+        if lang == "python":
+            if c == ":":
+                line = text.rfind("\n", 0, m.start()) + 1
+                lambda_ = m.groupdict().get("held") is not None
+                stop = text.find("\n", pos)
+                return Declaration(raw(name), begin, pos, (len(text) if stop < 0 else stop) if lambda_ else _block_end(text, line, n.start(), lang))
+            if c in _OPEN:
+                pos = balanced(text, n.start(), tokens)
+            continue
+        if c == ":":
+            typed = True
+            continue
+        if c == "{" and typed and between == ":":  # a type written as a literal
+            pos, typed = balanced(text, n.start(), tokens), False
+            continue
+        if c == "{":
+            return Declaration(raw(name), begin, n.start(), balanced(text, n.start(), tokens))
+        if c == "=>":
+            after = _GAP.match(text, pos).end()
+            if text[after : after + 1] == "{":
+                return Declaration(raw(name), begin, pos, balanced(text, after, tokens))
+            return Declaration(raw(name), begin, pos, _expression_end(text, after, marks, tokens))
+        if c == ";":
+            return Declaration(raw(name), begin, n.start(), pos)
+        if c in ("(", "["):
+            pos = balanced(text, n.start(), tokens)
+        elif c in (")", "]", "}"):
+            return Declaration(raw(name), begin, n.start(), n.start())
+        elif c == "\n" and closure:
+            return Declaration(raw(name), begin, m.end(), n.start())
+    return Declaration(raw(name), begin, len(text), len(text))
+
+
+def _expression_end(text: str, at: int, marks: re.Pattern, tokens: re.Pattern) -> int:
+    while n := marks.search(text, at):
+        c, at = n.group(), n.end()
+        if c in _OPEN:
+            at = balanced(text, n.start(), tokens)
+        elif c in (";", "\n") or c in _CLOSE:
+            return at if c == ";" else n.start()
+    return len(text)
+
+
+def signature_of(text: str, found: Declaration) -> str:
+    return " ".join(raw(text[found.start : found.body]).split())
+
+
+def functions_in(data: bytes | None, lang: str) -> Iterator[tuple[Declaration, str | None]]:
+    """Every function that begins a line, with the documentation written for
+    it, in order; what lies within strings and comments is none."""
+    if not data:
+        return
+    text = data.decode("latin-1")
+    masked, *_, lines, _ = _islands_of(lang)
+    docs = {at: doc for at, doc, holds in islands(data, lang) if not holds}
+    hidden = [m.span() for m in masked.finditer(text)]
+    k, seen = 0, set()
+    for m in lines.finditer(text):
+        at = m.start("decl")
+        while k < len(hidden) and hidden[k][1] <= at:
+            k += 1
+        if k < len(hidden) and hidden[k][0] <= at:
+            continue
+        found = declaration(text, at, lang)
+        if found and found.end > found.body and found.start not in seen and (text[found.body : found.body + 1] == "{" or lang == "python" or m.groupdict().get("held")):
+            seen.add(found.start)
+            yield found, next((docs[p] for p in places(text, at, lang)[0] if p in docs), None)
+
+
 def islands(data: bytes | None, lang: str) -> Iterator[tuple[int, str | None, bool]]:
     """``(offset, doc, holds)`` of what documents or declares something.
 
@@ -201,27 +359,7 @@ def islands(data: bytes | None, lang: str) -> Iterator[tuple[int, str | None, bo
     if not data:
         return
     text = data.decode("latin-1")  # one character is one byte
-    masked, annotation, modifiers, callables, tokens = _islands_of(lang)
-
-    def raw(part: str) -> str:
-        return part.encode("latin-1").decode("utf-8", "replace")
-
-    def starts(at: int) -> Iterator[int]:
-        """Where the declaration may begin: here, or behind annotations and modifiers."""
-        yield at
-        while m := annotation.match(text, at):
-            at = m.end()
-            if text[at - 1] == "[":
-                at = balanced(text, at - 1, tokens)
-            elif text[at : at + 1] == "(":
-                at = balanced(text, at, tokens)
-            gap = _GAP.match(text, at)
-            at = gap.end()
-            yield at
-        while m := modifiers.match(text, at):
-            at = m.end()
-            yield at
-
+    masked, _, _, callables, tokens, *_ = _islands_of(lang)
     block: list[str] = []
     block_end, strings = -1, []
 
@@ -230,7 +368,7 @@ def islands(data: bytes | None, lang: str) -> Iterator[tuple[int, str | None, bo
             gap = _GAP.match(text, block_end)
             if gap.end() < len(text) and text[gap.end()] not in "\n":
                 doc = raw("\n".join(block))
-                for at in starts(gap.end()):
+                for at in places(text, gap.end(), lang)[0]:
                     yield at, doc, False
 
     for m in masked.finditer(text):
@@ -253,7 +391,7 @@ def islands(data: bytes | None, lang: str) -> Iterator[tuple[int, str | None, bo
         for m in _DEF.finditer(text):
             body = _BODY.match(text, balanced(text, m.end(), tokens))
             if body and body.end() in doc_at:
-                for at in starts(m.start("decl")):
+                for at in places(text, m.start("decl"), lang)[0]:
                     yield at, raw(text[body.end() : doc_at[body.end()]]), False
     for m in callables.finditer(text):
         yield m.start("decl"), None, True
@@ -264,27 +402,69 @@ def plain_path(file: Column) -> Column:
     return F.regexp_replace(F.replace(file, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
 
 
-_ISLANDS = "file string, at long, doc string, holds boolean"
-_ISLAND_SCHEMA = pa.schema([("file", pa.string()), ("at", pa.int64()), ("doc", pa.string()), ("holds", pa.bool_())])
+def _newest(parts: DataFrame, column: str) -> DataFrame:
+    """One row a file: that of the newest content, of equally old ones that of
+    the greatest hash; so contents need no shuffle."""
+    return parts.groupBy("file").agg(F.max_by(column, F.struct("age", "digest")).alias(column))
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    age = F.col("mtime") if "mtime" in files.columns else F.lit(None)
+    rows = files.select("file", F.col("content").cast("binary").alias("content"), age.cast("timestamp_ntz").alias("age"), F.xxhash64("content").alias("digest"))
+    return spread(rows.where("file IS NOT NULL AND content IS NOT NULL"), "file")
+
+
+def _language(file: str) -> str | None:
+    return EXTENSIONS.get(file.rpartition(".")[2].lower())
+
+
+_ISLAND = pa.struct([("at", pa.int64()), ("doc", pa.string()), ("holds", pa.bool_())])
 
 
 def source_islands(files: DataFrame) -> DataFrame:
-    """Islands of every file with a known language (by extension): those whose
-    text has enough words to be real, and variables that hold functions."""
+    """``file, at, doc, holds``: islands of every file with a known language
+    (by extension): those whose text has enough words to be real, and
+    variables that hold functions. Of a file's contents the newest counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lang = EXTENSIONS.get(file.rpartition(".")[2].lower())
+                lang, mine = _language(file), []
                 for at, doc, holds in islands(data, lang) if lang else ():
                     text = None if doc is None else prose(doc)
                     if holds or count_words(text, None) >= MIN_WORDS:
-                        rows.append((file, at, text, holds))
-            columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ISLAND_SCHEMA, strict=True)] if rows else [pa.array([], t.type) for t in _ISLAND_SCHEMA]
-            yield pa.RecordBatch.from_arrays(columns, schema=_ISLAND_SCHEMA)
+                        mine.append({"at": at, "doc": text, "holds": holds})
+                rows.append(mine)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_ISLAND)), batch.column(2), batch.column(3)], names=["file", "islands", "age", "digest"])
+
+    found = _contents(files).mapInArrow(run, "file string, islands array<struct<at:bigint,doc:string,holds:boolean>>, age timestamp_ntz, digest bigint")
+    return _newest(found, "islands").select("file", F.explode("islands").alias("i")).select("file", "i.*")
+
+
+def source_pairs(files: DataFrame) -> DataFrame:
+    """``file, name, start, end, signature, code, description`` of every
+    function or method in the sources that has real documentation, without
+    any index: offsets are bytes, the description is the prose of the
+    comment before it or of its docstring. Any bytes are read; null names and
+    contents give nothing, of several contents of a file the newest counts."""
+    pair = pa.struct([("name", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("signature", pa.string()), ("code", pa.string()), ("description", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lang, mine = _language(file), []
+                text = data.decode("latin-1")
+                for d, doc in functions_in(data, lang) if lang else ():
+                    said = prose(doc)
+                    if count_words(said, d.name) >= MIN_WORDS:
+                        mine.append({"name": d.name, "start": d.start, "end": d.end, "signature": signature_of(text, d), "code": raw(text[d.start : d.end]), "description": said})
+                rows.append(mine)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pair)), batch.column(2), batch.column(3)], names=["file", "pairs", "age", "digest"])
 
-    return files.select("file", F.col("content").cast("binary").alias("content")).where("file IS NOT NULL AND content IS NOT NULL").mapInArrow(run, _ISLANDS)
+    schema = "file string, pairs array<struct<name:string,start:bigint,end:bigint,signature:string,code:string,description:string>>, age timestamp_ntz, digest bigint"
+    return _newest(_contents(files).mapInArrow(run, schema), "pairs").select("file", F.explode("pairs").alias("p")).select("file", "p.*")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -297,11 +477,6 @@ def _enough(text: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([bool(t) and count_words(t, n) >= MIN_WORDS for t, n in zip(text, name, strict=True)], dtype="boolean")
 
 
-@F.pandas_udf(T.StringType())
-def _prose(doc: pd.Series) -> pd.Series:
-    return pd.Series([prose(d) or None for d in doc], dtype="object")
-
-
 def _functions(symbols: DataFrame) -> DataFrame:
     kind = clean_kind("kind")
     return symbols.where(kind.isin(FUNCTION_KINDS + VARIABLE_KINDS) & F.col("id").isNotNull()).select(
@@ -320,7 +495,7 @@ def documented(symbols: DataFrame, files: DataFrame) -> DataFrame:
     rows = _functions(symbols).groupBy("id", "file", "at", "variable", "name").agg(
         F.max(_real("doc", "name")).alias("own"), F.max(F.coalesce(F.col("signature").rlike(_HOLDS), F.lit(False))).alias("sig_holds")
     )
-    found = source_islands(files.select("file", "content").dropDuplicates(["file"]))
+    found = source_islands(files)
     met = rows.join(found, ["file", "at"], "left")
     flags = met.select("id", "variable", "own", "sig_holds", "holds", _enough(F.col("doc"), F.col("name")).alias("near"))
     holds = F.col("sig_holds") | F.coalesce("holds", F.lit(False))
@@ -341,18 +516,49 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def function_pairs(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """``id, signature, code, description`` of every documented function.
 
-    The code is the span of the newest row that lies in a readable file, the
-    signature that row's or else the code's first line, the description the
-    prose of the symbol's own documentation or else of the source text.
+    All but the description come from one row of the id: the newest that has
+    a place, else the newest. The code is its span in the newest content of
+    its file, or, where the span is not whole, that of the function that the
+    source declares there. The signature is the row's or else the one in the
+    source, which may run over several lines; where nothing is declared, the
+    code's first line. The description is the prose of the newest real
+    documentation of the id, or else of the source text. Bytes that are not
+    UTF-8 are replaced. Without a readable file code is null.
     """
     real = documented_functions(symbols, files)
-    rows = symbols.select("*").withColumn("file", plain_path(F.col("file")))
-    newest = rows.join(real, "id", "left_semi").groupBy("id").agg(
-        F.max_by(F.struct("file", F.col("start_byte").alias("at"), "end_byte", "name"), F.struct(F.col("start_byte").isNotNull(), F.col("indexed_at").isNotNull(), "indexed_at")).alias("r"),
-        F.max("signature").alias("signature"), F.max(F.when(_real("doc", "name"), F.col("doc"))).alias("doc"),
-    ).select("id", "r.*", "signature", "doc")
-    texts = files.select("file", "content").dropDuplicates(["file"])
-    near = source_islands(texts).where("doc IS NOT NULL").groupBy("file", "at").agg(F.max("doc").alias("near"))
-    out = newest.join(near, ["file", "at"], "left").join(texts, "file", "left")
-    code = F.decode(F.substring(F.col("content").cast("binary"), F.col("at").cast("int") + 1, (F.col("end_byte") - F.col("at")).cast("int")), "UTF-8")
-    return out.select("id", F.coalesce("signature", F.trim(F.substring_index(code, "\n", 1))).alias("signature"), code.alias("code"), F.coalesce(_prose("doc"), "near").alias("description"))
+    rows = symbols.select("id", "name", plain_path(F.col("file")).alias("file"), "start_byte", "end_byte", "signature", "doc", "indexed_at").join(real, "id", "left_semi")
+    age = F.struct(F.col("indexed_at").isNotNull(), "indexed_at")
+    placed = F.struct((F.col("start_byte").isNotNull() & F.col("file").isNotNull()).alias("placed"), age.alias("age"), F.xxhash64("file", "start_byte", "end_byte", "signature"))
+    row = F.struct("name", "file", F.col("start_byte").alias("at"), F.col("end_byte").alias("stop"), "signature")
+    newest = rows.groupBy("id").agg(F.max_by(row, placed).alias("r"), F.max_by("doc", F.when(_real("doc", "name"), F.struct(age.alias("age"), "doc"))).alias("doc"))
+    asked = newest.select("r.file", F.struct("id", "r.name", "r.at", "r.stop", "r.signature", "doc").alias("f"))
+    placed_ = asked.where("file IS NOT NULL AND f.at IS NOT NULL").groupBy("file").agg(F.collect_list("f").alias("functions"))  # those of one file
+    best = _contents(files).groupBy("file").agg(F.max_by("content", F.struct("age", "digest")).alias("content"))
+    cut = pa.schema([("id", pa.string()), ("signature", pa.string()), ("code", pa.string()), ("near", pa.string())])
+    kind = symbols.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data, functions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lang, text = _language(file), data.decode("latin-1")
+                docs = {at: doc for at, doc, holds in islands(data, lang) if not holds} if lang else {}
+                out = []
+                for f in functions:
+                    at, stop = f["at"], f["stop"]
+                    found = declaration(text, at, lang) if lang and 0 <= at < len(text) else None
+                    whole = stop is not None and 0 <= at < stop <= len(text)
+                    code = raw(text[at:stop]) if whole else raw(text[at : found.end]) if found else None
+                    said = f["signature"] or (signature_of(text, found) if found else (code or "").split("\n", 1)[0].strip()) or None
+                    near = prose(docs.get(at)) if at in docs else None
+                    out.append((f["id"], said, code, near if near and count_words(near, f["name"]) >= MIN_WORDS else None))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), cut, strict=True)], schema=cut)
+
+    read = best.join(placed_, "file").mapInArrow(run, f"id {kind}, signature string, code string, near string")
+    own = F.pandas_udf(_own_prose, T.StringType())
+    out = newest.select("id", F.col("r.signature").alias("given"), own("doc").alias("own")).join(read, "id", "left")
+    return out.select("id", F.coalesce("given", "signature").alias("signature"), "code", F.coalesce("own", "near").alias("description"))
+
+
+def _own_prose(doc: pd.Series) -> pd.Series:
+    return pd.Series([prose(d) or None for d in doc], dtype="object")

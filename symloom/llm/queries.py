@@ -25,6 +25,10 @@ def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.function_pairs(table(spark, sf, "symbols"), table(spark, sf, "source_files"))
 
 
+def p3_source_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return docpairs.source_pairs(table(spark, sf, "source_files"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbours.nearest(table(spark, sf, "vectors"), min_cosine=0.93, reach=0.998)
     return neighbours.similar_pairs(near, 0.93)
@@ -53,7 +57,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "s.first", "s.n", "s.lang", "s.confidence", "s.counts")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p5_found, p5_nearest, p7_ids, p8_found, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pairs, p3_source_pairs, p5_found, p5_nearest, p7_ids, p8_found, p9_found, p9_segments)}
 #: Brute force over all pairs of usable vectors.
 _VECTORS = """
 WITH n AS (SELECT id, vec, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM vectors WHERE id IS NOT NULL),

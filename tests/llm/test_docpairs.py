@@ -114,3 +114,43 @@ def test_found_and_pairs(spark):
     assert pairs["own"].code is None and pairs["own"].description == REAL
     assert dp.documented_functions(symbols.limit(0), files).count() == 0
     assert sorted(r.id for r in dp.documented_functions(symbols, files.limit(0)).collect()) == ["own", "var"]
+
+
+PLACES = {
+    "a.py": ("@dec(1)\n@other\nasync def one(a: str = ')',\n              b=(1, 2)) -> dict[str, int]:\n    \"\"\"doc\"\"\"\n    x = \'\'\'\nnot out\'\'\'\n\n    return x\n\ndef two(): return 1\n",
+             [("one", "async def one(a: str = ')', b=(1, 2)) -> dict[str, int]:", "return x"), ("two", "def two():", "return 1")]),
+    "b.ts": ("export default async function one<T>(a: {b: number},\n  c = '}'): Promise<T> {\n  return f(a);\n}\nexport const two = async (a) => { g(a); };\nclass A {\n  private get three(): {x: number} { return {x: 1}; }\n}\nif (a) { b(); }\nconst four = x =>\n  x + 1;\n",
+             [("one", "export default async function one<T>(a: {b: number}, c = '}'): Promise<T>", "}"), ("two", "export const two = async (a) =>", "}"), ("three", "private get three(): {x: number}", "return {x: 1}; }"), ("four", "const four = x =>", "x + 1;")]),
+    "c.go": ("func (s *S[T]) one(\n\ta int,\n) (int, error) {\n\treturn 1, nil // }\n}\nvar two = func(a int) { g() }\n", [("one", "func (s *S[T]) one( a int, ) (int, error)", "}"), ("two", "var two = func(a int)", "}")]),
+    "d.rs": ("#[inline]\npub(crate) unsafe fn one<'a, F: Fn(u8) -> u8>(x: &'a [u8; 2]) -> Vec<u8>\nwhere F: Copy {\n    '{'; }\nfn two();\n", [("one", "pub(crate) unsafe fn one<'a, F: Fn(u8) -> u8>(x: &'a [u8; 2]) -> Vec<u8> where F: Copy", "'{'; }")]),
+    "e.c": ("/* int none(void) { } */\nstatic inline const char *one(int a[3],\n    void (*f)(int)) { return \"}\"; }\nint two(void);\nint x = call(3);\n", [("one", "static inline const char *one(int a[3], void (*f)(int))", "}")]),
+}
+
+
+@pytest.mark.parametrize("file", list(PLACES))
+def test_declarations(file):
+    source, want = PLACES[file]
+    text = source.encode().decode("latin-1")
+    found = [d for d, _ in dp.functions_in(source.encode(), dp._language(file))]
+    assert [(d.name, dp.signature_of(text, d)) for d in found] == [(n, s) for n, s, _ in want]
+    for d, (_, _, end) in zip(found, want, strict=True):
+        assert text[d.start : d.end].rstrip().endswith(end)
+
+
+def test_source_pairs(spark):
+    _, files = tables(spark)
+    got = {r.name: r for r in dp.source_pairs(files).collect()}
+    assert set(got) == {"one", "two", "three", "five", "eight", "nine", "eleven", "thirteen"}
+    assert got["nine"].signature == "pub fn nine<'a>(x: &'a str)" and got["nine"].code.endswith("}") and got["nine"].description == REAL
+    assert dp.source_pairs(files.limit(0)).count() == 0
+
+
+def test_pairs_of_any_bytes_and_the_newest_row(spark):
+    source = b"# " + REAL.encode() + b"\ndef f(new,\n      other):\n    return '\xff'\n"
+    rows = [("f", "f", 65, 200, "def f(zold)", None, 1), ("f", "f", source.index(b"def"), len(source), None, None, 2), ("g", "f", source.index(b"def"), None, None, "z " + REAL, 1), ("g", "f", None, None, "newer", REAL, 3)]
+    df = spark.createDataFrame([(i, "function", n, "p/a.py", a, b, s, d, t) for i, n, a, b, s, d, t in rows], "id string, kind string, name string, file string, start_byte long, end_byte long, signature string, doc string, day int")
+    symbols = df.selectExpr("*", "timestamp_seconds(day) AS indexed_at")
+    files = spark.createDataFrame([("p/a.py", source, 2), ("p/a.py", b"old", 1), ("p/a.py", source, 2)], "file string, content binary, t int").selectExpr("file", "content", "timestamp_seconds(t) AS mtime")
+    got = {r.id: r for r in dp.function_pairs(symbols, files).collect()}
+    assert got["f"].signature == "def f(new, other):" and got["f"].code.endswith("return '\ufffd'\n") and got["f"].description == REAL
+    assert got["g"].signature == "def f(new, other):" and got["g"].code.endswith("return '\ufffd'") and got["g"].description == REAL
