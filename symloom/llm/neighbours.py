@@ -1,11 +1,13 @@
 """The most similar vectors of every vector, by additive quantisation.
 
 Vectors become unit vectors; equal ones are searched once. A bounded sample
-fits coarse cells and additive codebooks: full-dimensional residual codebooks,
+fits coarse cells, whose number grows as the power 2/3 of that of the vectors,
+and additive codebooks: full-dimensional residual codebooks,
 refined jointly, whose codes a beam search picks; the norm of the decoded
 vector and its distance from the true one are stored with the code. Every
 vector is a query in its nearest cell, and its code, a few bytes, is sent to
-the cells where it may be asked for. In a cell, lookup tables of the query
+the cells where it may be asked for. Neighbouring cells make a bundle, to
+which a code is sent once and which is one task's work. In a cell, lookup tables of the query
 against all codewords score all codes; whatever the stored distance does not
 rule out is reranked exactly. Where no least cosine shortens the search, that
 distance is too wide to rule out much, so what the codebooks leave over goes
@@ -27,17 +29,21 @@ from pyspark.sql.window import Window
 
 from symloom.plans.scratch import Scratch
 
-#: Rows that fit the index, and queries that calibrate it; both bounded.
-FIT_ROWS, CALIBRATION_QUERIES = 20_000, 800
+#: Rows that fit codebooks, queries that calibrate the index, and most rows
+#: that fit cells: the sample grows with the cells, at least so many rows each.
+FIT_ROWS, CALIBRATION_QUERIES, MOST_FIT_ROWS, ROWS_A_CELL = 20_000, 800, 1_000_000, 16
+#: Cells for a table of n vectors are so many times n to the power of 2/3; up
+#: to so many vectors a single one is searched.
+CELLS, ONE_CELL = 1.6, 2_000
 CODEBOOKS, CODEWORDS, BEAM = 8, 256, 6
 #: Most queries and codes that meet in one group.
 QUERY_BLOCK, CODE_BLOCK = 4_096, 65_536
 #: Share of the sample's neighbours that must lie within reach.
-REACH = 0.97
+REACH = 0.93
 
 
 class Index(NamedTuple):
-    cells: np.ndarray  # (cells, dim), unit vectors
+    cells: np.ndarray  # (cells, dim), unit vectors, near ones near each other
     books: np.ndarray  # (codebooks, codewords, dim)
 
 
@@ -55,41 +61,66 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray
     return centre.astype(np.float32)
 
 
+def beam_step(left: np.ndarray, codes: np.ndarray, book: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """One more codeword: of what is left over (rows, width, dim) by the codes
+    (rows, width, stages) the best ``beam`` continuations of each row."""
+    n, width, dim = left.shape
+    cost = (left * left).sum(2)[:, :, None] - 2 * (left.reshape(-1, dim) @ book.T).reshape(n, width, -1) + (book * book).sum(1)
+    flat = cost.reshape(n, -1)
+    keep = min(beam, flat.shape[1])
+    best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
+    old, word = best // len(book), best % len(book)
+    left = np.take_along_axis(left, old[:, :, None], 1) - book[word]
+    return left, np.concatenate([np.take_along_axis(codes, old[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
+
+
 def beam_encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes of each row and the decoded rows: stage by stage the best few
     partial sums are kept, judged by what they leave over."""
-    n, dim = x.shape
-    left = x[:, None, :]
-    codes = np.zeros((n, 1, 0), np.uint8)
+    left, codes = x[:, None, :], np.zeros((len(x), 1, 0), np.uint8)
     for book in books:
-        width = left.shape[1]
-        cost = (left * left).sum(2)[:, :, None] - 2 * (left.reshape(-1, dim) @ book.T).reshape(n, width, -1) + (book * book).sum(1)
-        flat = cost.reshape(n, -1)
-        keep = min(beam, flat.shape[1])
-        best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-        old, word = best // len(book), best % len(book)
-        left = np.take_along_axis(left, old[:, :, None], 1) - book[word]
-        codes = np.concatenate([np.take_along_axis(codes, old[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
+        left, codes = beam_step(left, codes, book, beam)
     final = (left * left).sum(2).argmin(1)
-    rows = np.arange(n)
+    rows = np.arange(len(x))
     return codes[rows, final], x - left[rows, final]
 
 
-def encode_chunks(x: np.ndarray, books: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def encode_chunks(x: np.ndarray, books: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
     parts = [beam_encode(x[i : i + chunk], books) for i in range(0, len(x), chunk)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def cells_wanted(n_rows: int) -> int:
+    return int(CELLS * n_rows ** (2 / 3)) if n_rows > ONE_CELL else 1
+
+
+def _ordered_cells(sample: np.ndarray, n_cells: int) -> np.ndarray:
+    """Cells by k-means in two levels, so that the work is that of the root of
+    their number, those of one upper cell behind each other."""
+    if n_cells == 1:
+        return sample.mean(0, keepdims=True)
+    tops = k_means(sample, max(1, int(math.sqrt(n_cells))))
+    own = (sample @ tops.T - 0.5 * (tops * tops).sum(1)).argmax(1)
+    order, share = np.argsort(tops[:, 0], kind="stable"), n_cells / len(sample)
+    out = []
+    for t in order.tolist():
+        mine = sample[own == t]
+        if len(mine):
+            out.append(k_means(mine, min(len(mine), max(1, round(len(mine) * share))), 6, seed=t))
+    return np.concatenate(out)
+
+
 def fit(sample: np.ndarray, n_rows: int) -> Index:
-    """Coarse cells (about the square root of all rows) and codebooks."""
-    n_cells = max(1, min(int(math.sqrt(n_rows)) if n_rows > 2_000 else 1, len(sample) // 8, 16_384))
-    cells = k_means(sample, n_cells) if n_cells > 1 else sample.mean(0, keepdims=True)
+    """Coarse cells and codebooks."""
+    cells = _ordered_cells(sample, max(1, min(cells_wanted(n_rows), len(sample) // ROWS_A_CELL)))
     cells = cells / np.maximum(np.linalg.norm(cells, axis=1, keepdims=True), 1e-12)
-    words, rest, books = min(CODEWORDS, len(sample)), sample, []
+    sample = sample[:FIT_ROWS]
+    words, books = min(CODEWORDS, len(sample)), []
+    beams = [(sample[i : i + 256, None, :], np.zeros((len(sample[i : i + 256]), 1, 0), np.uint8)) for i in range(0, len(sample), 256)]
     for stage in range(CODEBOOKS):
+        rest = np.concatenate([left[np.arange(len(left)), (left * left).sum(2).argmin(1)] for left, _ in beams])
         books.append(k_means(rest, words, 6, seed=stage))
-        _, decoded = encode_chunks(sample, np.stack(books))
-        rest = sample - decoded
+        beams = [beam_step(left, codes, books[-1], BEAM) for left, codes in beams]
     stacked = np.stack(books)
     if len(sample) >= 4 * words:  # refine all codebooks jointly by least squares
         codes, _ = encode_chunks(sample, stacked)
@@ -165,7 +196,7 @@ def _nearest_cells(x: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
 
 
-def _reach(units: DataFrame, queries: np.ndarray, index: Index, dim: int, k: int, least: float | None, reach: float) -> int:
+def _reach(units: DataFrame, queries: np.ndarray, index: Index, dim: int, k: int, bar: float | None, reach: float) -> int:
     """Nearest cells to which a code must go so that ``reach`` of the sample's
     exact neighbours meet their query."""
     if len(index.cells) == 1:
@@ -174,6 +205,7 @@ def _reach(units: DataFrame, queries: np.ndarray, index: Index, dim: int, k: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, own, cells = asked.value
+        known = np.full((len(q), k), -2, np.float32)  # the best of this task so far
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 x = _matrix(batch.column(0).slice(i, 4096), dim)
@@ -183,7 +215,9 @@ def _reach(units: DataFrame, queries: np.ndarray, index: Index, dim: int, k: int
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 cos = np.take_along_axis(score, best, 1).ravel()
                 hit, row = best.ravel(), np.repeat(np.arange(len(q)), n)
-                ok = cos >= (least if least is not None else -1)
+                ok = (cos >= (bar if bar is not None else -1)) & (cos > known.min(1)[row])
+                both = np.concatenate([known, cos.reshape(len(q), n)], 1)
+                known = -np.partition(-both, k - 1, axis=1)[:, :k]
                 hit, row, cos = hit[ok], row[ok], cos[ok]
                 near = x @ cells.T
                 rank = (near[hit] > near[hit, own[row]][:, None]).sum(1)
@@ -196,7 +230,7 @@ def _reach(units: DataFrame, queries: np.ndarray, index: Index, dim: int, k: int
         return len(index.cells)
     share = ranks["count"].cumsum() / ranks["count"].sum()
     # a little farther than the sample asks for, as it is a sample
-    return min(len(index.cells), math.ceil(1.25 * (int(ranks["rank"][share >= reach].iloc[0]) + 1)) + 2)
+    return min(len(index.cells), math.ceil(1.1 * (int(ranks["rank"][share >= reach].iloc[0]) + 1)) + 2)
 
 
 def nearest(
@@ -213,7 +247,8 @@ def nearest(
     in reach that may be among the ``k`` best is reranked, without a cap;
     ``short_list``, once that cap, has no effect. Null ids are skipped, repeated
     rows count once, an empty table gives no rows, further columns are
-    ignored. Fitting uses ``fit_rows`` rows at most; all rows are indexed.
+    ignored. Codebooks are fitted on ``fit_rows`` rows at most, cells on some
+    more where there are many (:data:`MOST_FIT_ROWS`); all rows are indexed.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -228,20 +263,35 @@ def nearest(
     empty = spark.createDataFrame([], f"id {kind}, neighbour {kind}, cosine double")
     if not n_reps:
         return empty
+    rows = max(fit_rows, min(MOST_FIT_ROWS, ROWS_A_CELL * cells_wanted(n_reps)))
     # thinned by a hash first, so that no task sorts more than a few samples
-    thin = reps.where(F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < min(1.0, 1.2 * fit_rows / n_reps) * 1_000_000)
-    sample = thin.orderBy(F.xxhash64("unit"), "id").limit(fit_rows).select("unit").toPandas()["unit"]
-    sample = np.frombuffer(b"".join(sample), "<f4").reshape(-1, dim).copy()
+    drawn = rows + CALIBRATION_QUERIES
+    thin = reps.where(F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < min(1.0, 1.2 * drawn / n_reps) * 1_000_000)
+    sample = _matrix(thin.orderBy(F.xxhash64("unit"), "id").limit(drawn).select("unit").toArrow()["unit"], dim).copy()
     if not len(sample):  # a handful of vectors, none of which the hash took
-        sample = np.frombuffer(b"".join(reps.select("unit").limit(fit_rows).toPandas()["unit"]), "<f4").reshape(-1, dim).copy()
+        sample = _matrix(reps.select("unit").limit(drawn).toArrow()["unit"], dim).copy()
+    # queries that fitted the cells would lie closer to them than others do
+    asked = sample[:CALIBRATION_QUERIES]
+    sample = sample[CALIBRATION_QUERIES:] if len(sample) > 4 * CALIBRATION_QUERIES else sample
     index = fit(sample, n_reps)
-    cells_of = _reach(reps, sample[:CALIBRATION_QUERIES], index, dim, k, min_cosine, reach)
+    cells_of = _reach(reps, asked, index, dim, k, min_cosine, reach)
     shared = spark.sparkContext.broadcast(index)
+    wide = max(1, QUERY_BLOCK * len(index.cells) // n_reps)  # cells of a bundle
+
+    def bundled(near: np.ndarray) -> pa.Array:
+        """Of each row's cells those of one bundle together."""
+        cells = np.sort(near, axis=1)
+        new = np.ones(cells.shape, bool)
+        new[:, 1:] = cells[:, 1:] // wide != cells[:, :-1] // wide
+        first = np.nonzero(new.ravel())[0]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, cells.size), pa.int32()), pa.array(cells.ravel(), pa.int32()))
+        parts = pa.StructArray.from_arrays([pa.array(cells.ravel()[first] // wide, pa.int32()), lists], ["bundle", "cells"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new.sum(1))), pa.int32()), parts)
 
     def coded_rows(part: pa.RecordBatch, near: np.ndarray, codes: np.ndarray, norm: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), pa.array(list(near), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(off)],
-            names=["id", "unit", "cells", "code", "norm", "off"],
+            [part.column(0), part.column(1), pa.array(near[:, 0], pa.int32()), bundled(near), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(off)],
+            names=["id", "unit", "cell", "parts", "code", "norm", "off"],
         )
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,16 +312,17 @@ def nearest(
                 off = np.linalg.norm(x - decoded / norm[:, None], axis=1).astype(np.float32)
                 yield coded_rows(part, near, codes, norm, off)
 
-    coded = scratch.cut(reps.mapInArrow(encode, f"id {kind}, unit binary, cells array<int>, code binary, norm float, off float"))
-    own = coded.df.select(F.element_at("cells", 1).alias("cell"), "id", "unit")
-    sent = coded.df.select(F.explode("cells").alias("cell"), "id", "code", "norm", "off")
-    sizes = own.groupBy("cell").count().withColumnRenamed("count", "nq").join(sent.groupBy("cell").count().withColumnRenamed("count", "nc"), "cell")
-    blocks = F.broadcast(sizes.select("cell", F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("qbs"), F.ceil(F.col("nc") / CODE_BLOCK).cast("int").alias("cbs")))
-    own = own.join(blocks, "cell").select(
-        "cell", F.pmod(F.xxhash64("id"), F.col("qbs")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("cbs") - 1)).alias("cb"), "id", "unit"
+    coded = scratch.cut(reps.mapInArrow(encode, f"id {kind}, unit binary, cell int, parts array<struct<bundle:int,cells:array<int>>>, code binary, norm float, off float"))
+    own = coded.df.select(F.expr(f"cell div {wide}").cast("int").alias("bundle"), "id", "unit", "cell")
+    sent = coded.df.select(F.explode("parts").alias("p"), "id", "code", "norm", "off").select("p.bundle", "p.cells", "id", "code", "norm", "off")
+    sizes = own.groupBy("bundle").agg(F.count(F.lit(1)).alias("nq")).join(sent.groupBy("bundle").agg(F.count(F.lit(1)).alias("nc")), "bundle")
+    blocks = sizes.select("bundle", F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("qbs"), F.ceil(F.col("nc") / CODE_BLOCK).cast("int").alias("cbs"))
+    blocks = F.broadcast(scratch.cut(blocks).df)  # at most a row a cell
+    own = own.join(blocks, "bundle").select(
+        "bundle", F.pmod(F.xxhash64("id"), F.col("qbs")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("cbs") - 1)).alias("cb"), "id", "unit", "cell"
     )
-    sent = sent.join(blocks, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), F.col("cbs")).cast("int").alias("cb"), "id", "code", "norm", "off"
+    sent = sent.join(blocks, "bundle").select(
+        "bundle", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), F.col("cbs")).cast("int").alias("cb"), "id", "cells", "code", "norm", "off"
     )
 
     def meet(queries: pa.Table, codes: pa.Table) -> pa.Table:
@@ -284,42 +335,57 @@ def nearest(
             ids, units_q = queries["id"].to_pylist(), queries["unit"].to_pylist()
             names = codes["id"].combine_chunks() if codes["id"].num_chunks != 1 else codes["id"].chunk(0)
             where = {v: n for n, v in enumerate(names.to_pylist())}
-            step = max(1, min(256, 4_000_000 // len(code)))
             if min_cosine is None:
                 q = _normed(q)
                 # scale and distance as wide as their rounding may ask for
                 off = off * (1 + 1e-6) + 1e-9
                 full = decode(code[:, :CODEBOOKS], idx.books) + code[:, CODEBOOKS:].view(np.int8) * norm[:, None].astype(np.float64)
                 square = (full * full).sum(1)
-            for i in range(0, len(q), step):
-                if min_cosine is None:
-                    # minus the distance from the query: its error does not outgrow close neighbours as that of the cosine does
-                    score = -np.sqrt(np.maximum(1 + square - 2 * (q[i : i + step] @ full.T), 0))
-                else:
-                    score = lookup_scores(q[i : i + step], code, idx.books) / norm
-                for r, s in enumerate(score):
-                    me = where.get(ids[i + r])
-                    if me is not None:
-                        s[me] = -3
-                    if min_cosine is not None:
-                        # the k-th best lower bound is a bar too, as only k are asked for
-                        bar = min_cosine if len(s) <= k + 1 else max(min_cosine, np.partition(s - off, -k - 1)[-k - 1])
-                        best = np.nonzero(s + off >= bar - 1e-4)[0]
-                    elif len(s) > k + 1:
-                        bar = np.minimum(np.partition(s - off, -k)[-k], 0)
-                        # squares, as the cosines are compared to 9 decimals
-                        best = np.nonzero(np.minimum(s + off, 0) ** 2 <= bar * bar + 1e-8)[0]
+            # the codes of each cell: sorted by cell, then by their place
+            spots = codes["cells"].combine_chunks() if codes["cells"].num_chunks != 1 else codes["cells"].chunk(0)
+            flat = spots.flatten().to_numpy()
+            owner = np.repeat(np.arange(codes.num_rows), np.diff(spots.offsets.to_numpy()))
+            order = np.lexsort((owner, flat))
+            flat, owner = flat[order], owner[order]
+            q_cell = queries["cell"].to_numpy()
+            for cell in np.unique(q_cell):
+                subset = owner[np.searchsorted(flat, cell) : np.searchsorted(flat, cell, "right")]
+                asking = np.nonzero(q_cell == cell)[0]
+                if not len(subset):
+                    continue
+                step = max(1, min(256, 4_000_000 // len(subset)))
+                part_off = off[subset]
+                for i in range(0, len(asking), step):
+                    some = asking[i : i + step]
+                    if min_cosine is None:
+                        # minus the distance from the query: its error does not outgrow close neighbours as that of the cosine does
+                        score = -np.sqrt(np.maximum(1 + square[subset] - 2 * (q[some] @ full[subset].T), 0))
                     else:
-                        best = np.arange(len(s))
-                    best = best[s[best] > -2.5]
-                    if len(best):
-                        out_q.append(ids[i + r])
-                        out_u.append(units_q[i + r])
-                        out_c.append(names.take(pa.array(best)))
+                        score = lookup_scores(q[some], code[subset], idx.books) / norm[subset]
+                    for r, s in zip(some.tolist(), score, strict=True):
+                        me = where.get(ids[r], -1)
+                        at = int(np.searchsorted(subset, me))
+                        if at < len(subset) and subset[at] == me:
+                            s[at] = -3
+                        if min_cosine is not None:
+                            # the k-th best lower bound is a bar too, as only k are asked for
+                            bar = min_cosine if len(s) <= k + 1 else max(min_cosine, np.partition(s - part_off, -k - 1)[-k - 1])
+                            best = np.nonzero(s + part_off >= bar - 1e-4)[0]
+                        elif len(s) > k + 1:
+                            bar = np.minimum(np.partition(s - part_off, -k)[-k], 0)
+                            # squares, as the cosines are compared to 9 decimals
+                            best = np.nonzero(np.minimum(s + part_off, 0) ** 2 <= bar * bar + 1e-8)[0]
+                        else:
+                            best = np.arange(len(s))
+                        best = best[s[best] > -2.5]
+                        if len(best):
+                            out_q.append(ids[r])
+                            out_u.append(units_q[r])
+                            out_c.append(names.take(pa.array(subset[best])))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out_c)]), pa.int32()), pa.concat_arrays(out_c)) if out_c else pa.array([], pa.list_(codes["id"].type))
         return pa.table({"id": pa.array(out_q, queries["id"].type), "unit": pa.array(out_u, pa.binary()), "near": lists})
 
-    short = own.groupBy("cell", "qb", "cb").cogroup(sent.groupBy("cell", "qb", "cb")).applyInArrow(meet, f"id {kind}, unit binary, near array<{kind}>")
+    short = own.groupBy("bundle", "qb", "cb").cogroup(sent.groupBy("bundle", "qb", "cb")).applyInArrow(meet, f"id {kind}, unit binary, near array<{kind}>")
     pairs = short.select("id", "unit", F.explode("near").alias("rep"))
     both = pairs.join(classes.df.select("rep", F.col("unit").alias("unit2"), "head"), "rep").select("id", "unit", "unit2", "head")
 

@@ -112,6 +112,12 @@ def test_test_vectors(spark, table):
     assert {(r.id_a, r.id_b) for r in nn.similar_pairs(nn.nearest(df, min_cosine=0.93), 0.93).collect()} == near
 
 
+def test_recall_of_many_cells(spark):
+    v = clustered(6000, 9)
+    have, want = got(nn.nearest(frame(spark, v))), brute(v, 10)
+    assert np.mean([len({j for j, _ in have[i]} & {j for j, _ in want[i]}) / 10 for i in want]) >= 0.9
+
+
 def test_codes_approximate_and_tables_agree():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, DIM)).astype(np.float32)
