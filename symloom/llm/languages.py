@@ -44,6 +44,8 @@ FOLDS, CLEANINGS = 4, 2
 SMOOTH = 0.01
 #: A sentence below this confidence takes the language of its neighbours.
 UNSURE = 0.55
+#: A segment below this mean confidence is in none of the languages.
+DETERMINED, UNDETERMINED = 0.5, "und"
 
 _POINTS = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200)]))
 
@@ -505,7 +507,8 @@ def _sample(prepared: DataFrame, languages: Sequence[str], per_language: int) ->
 
 
 def identify(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, per_language: int = FIT_SENTENCES
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, per_language: int = FIT_SENTENCES,
+    determined: float = DETERMINED,
 ) -> DataFrame:
     """``doc, named, segments`` of every document with prose.
 
@@ -515,7 +518,8 @@ def identify(
     calibrated confidence, and whether the document is in that language.
     Null, blank and code-only texts give no row, null ids are skipped, copies
     a row each; whole texts are read; an empty table gives no rows. A language
-    without any labelled document cannot be recognised. Further columns are
+    without any labelled document cannot be recognised; a segment whose
+    confidence is below ``determined`` is ``und``. Further columns are
     ignored. At most ``per_language`` sentences of each language fit the model.
     """
     scratch = Scratch(docs.sparkSession, "languages")
@@ -542,7 +546,7 @@ def identify(
                     at += len(parts)
                     rows.append(
                         [
-                            {"lang": m.languages[r.language], "first": r.first, "n": r.end - r.first, "confidence": round(r.confidence, 4), "counts": c}
+                            {"lang": m.languages[r.language] if r.confidence >= determined else UNDETERMINED, "first": r.first, "n": r.end - r.first, "confidence": round(r.confidence, 4), "counts": c}
                             for r, c in zip(runs, counting_runs(runs), strict=True)
                         ]
                     )
@@ -553,8 +557,11 @@ def identify(
 
 def mislabelled(identified: DataFrame) -> DataFrame:
     """``doc, lang, confidence``: one row per language of every document whose
-    label does not name its language, and of every document in several."""
-    counted = F.filter("segments", lambda s: s["counts"])
+    label does not name its language, and of every document in several. What
+    is undetermined counts only where nothing else is there."""
+    every = F.filter("segments", lambda s: s["counts"])
+    known = F.filter(every, lambda s: s["lang"] != UNDETERMINED)
+    counted = F.when(F.size(known) > 0, known).otherwise(every)
     langs = F.array_distinct(F.transform(counted, lambda s: s["lang"]))
     wrong = (F.size(langs) > 1) | F.col("named").isNull() | (F.col("named") != F.element_at(langs, 1))
     one = identified.where(wrong).select("doc", F.explode(counted).alias("s"))

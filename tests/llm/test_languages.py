@@ -100,3 +100,12 @@ def test_held_out_accuracy_and_calibration(spark):
     assert model.confidence([]).shape == (0, len(known))
     alone, together = model.confidence([EN[0]]), model.confidence([DE[1], EN[0], JA[0]])
     assert np.allclose(alone[0], together[1])
+
+
+def test_undetermined(spark):
+    rows = [(i, " ".join(x), n) for i, (x, n) in enumerate([(EN, "en"), (DE, "de"), (FR, "fr"), (RU, "ru"), (JA, "ja")] * 12)]
+    rows.append((900, "Wszystkie pliki zosta\u0142y odczytane przed ko\u0144cem pracy. Nikt nie pyta o drug\u0105 kraw\u0119d\u017a, wi\u0119c graf j\u0105 trzyma.", "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {(r.doc, r.lang) for r in lg.mislabelled(lg.identify(df, determined=0.9)).collect()}
+    assert (900, "und") in found and found <= {(900, "und")}
+    assert all(r.lang != "und" for r in lg.mislabelled(lg.identify(df, determined=0.0)).collect())
