@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,19 +66,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "i
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            asked = None
             for batch in batches:
-                pairs = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(v) == dim and all(e is not None and e == e for e in v) and any(v)]
-                if not pairs:
+                asked = pa.array(ids, batch.column(0).type) if asked is None else asked
+                vecs = batch.column(1)
+                # of the right length first, so that the rest is one matrix; null elements become NaN
+                of_length = np.diff(vecs.offsets.to_numpy()) == dim
+                rows = batch.filter(pa.array(of_length))
+                x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                ok = np.isfinite(x).all(1) & x.any(1)
+                x, names = x[ok], rows.column(0).filter(pa.array(ok))
+                if not len(x):
                     continue
-                x = np.array([v for _, v in pairs], np.float64)
                 score = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-                take = min(k + 1, len(pairs))
+                take = min(k + 1, len(x))
                 # every row that ties with the last one taken goes along
                 edge = -np.partition(-score, take - 1, axis=1)[:, take - 1 : take]
                 a, c = np.nonzero(score >= edge)
-                got = [(ids[i], pairs[j][0], float(score[i, j])) for i, j in zip(a, c, strict=True) if ids[i] != pairs[j][0]]
-                cols = list(zip(*got, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], batch.column(0).type), pa.array(cols[2], pa.float64())], names=["query", "id", "score"])
+                mine, other = asked.take(pa.array(a)), names.take(pa.array(c))
+                differ = pc.not_equal(mine, other)
+                yield pa.RecordBatch.from_arrays([mine.filter(differ), other.filter(differ), pa.array(score[a, c]).filter(differ)], names=["query", "id", "score"])
 
         out = out.unionByName(rows.mapInArrow(run, f"query {kind}, id {kind}, score double"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
