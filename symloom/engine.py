@@ -81,13 +81,25 @@ class Engine:
     def _files(self) -> DataFrame:
         return walking.read_files(self.spark, self.base, walking.walk(self.config, self.registry), self.registry)
 
-    def index(self, incremental: bool = False) -> indexing.Refreshed | None:
-        """Build the index, or bring it up to date; null after a full build."""
+    def _candidates(self) -> tuple[DataFrame, DataFrame]:
+        """The files whose time or size is not that of the index, read; and the
+        names of all that are there."""
+        there = walking.stat_files(self.base, walking.walk(self.config, self.registry))
+        listed = self.spark.createDataFrame(there, "file string, micros long, n_bytes long")
+        old = indexing.open_index(self.spark, self.folder).table("files").where("status = 'ok'").select("file", F.unix_micros(F.col("mtime").cast("timestamp")).alias("micros"), "n_bytes")
+        paths = [r.file for r in listed.join(old, ["file", "micros", "n_bytes"], "left_anti").select("file").collect()]
+        return walking.read_files(self.spark, self.base, paths, self.registry), listed
+
+    def index(self, incremental: bool = False, by: str = "stat") -> indexing.Refreshed | None:
+        """Build the index, or bring it up to date; null after a full build.
+        A refresh reads the files whose time or size differs; ``by="content"``
+        reads and hashes all."""
         head = walking.git_head(self.base)
         self._index = None
         if incremental:
             try:
-                return indexing.refresh(self.spark, self._files(), self.registry, self.folder, self.plugins, head, self.embedder)
+                files, listed = (self._files(), None) if by == "content" else self._candidates()
+                return indexing.refresh(self.spark, files, self.registry, self.folder, self.plugins, head, self.embedder, listed)
             except indexing.IndexNotFound:
                 pass
         self._index = indexing.build(self.spark, self._files(), self.registry, self.folder, self.plugins, head, self.embedder)
@@ -117,7 +129,17 @@ class Engine:
         return names
 
     def watch(self, every: str = "2 seconds", errors: list | None = None):
-        return watching.watch(self.spark, lambda: self.index(incremental=True), every, errors=errors)
+        """Refresh the index whenever the listing of the source files (names of
+        known languages, times, sizes) is not that of the last look."""
+        seen: list = []
+
+        def refresh() -> None:
+            there = walking.stat_files(self.base, walking.walk(self.config, self.registry))
+            if there not in seen:
+                self.index(incremental=True)
+                seen[:] = [there]
+
+        return watching.watch(self.spark, refresh, every, errors=errors)
 
     # -- questions --------------------------------------------------------------
 

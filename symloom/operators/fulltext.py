@@ -54,6 +54,13 @@ def remove_documents(index: TextIndex, ids: DataFrame) -> TextIndex:
     return TextIndex(index.postings.join(ids.select("id").distinct(), "id", "left_anti"), lengths, stats)
 
 
+def add_documents(index: TextIndex, new: TextIndex) -> TextIndex:
+    """The index with the documents of another, none of which it has yet."""
+    lengths = index.lengths.unionByName(new.lengths)
+    stats = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return TextIndex(index.postings.unionByName(new.postings), lengths, stats)
+
+
 class QueryError(ValueError):
     """The text is not a query."""
 

@@ -107,7 +107,7 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return named.unionByName(graph.insert_edges(given, symbols))
 
 
-def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFrame, refs: DataFrame, vecs: DataFrame | None, state: dict, embedder: Embedder) -> Index:
+def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFrame, refs: DataFrame, vecs: DataFrame | None, state: dict, embedder: Embedder, text: fulltext.TextIndex | None = None) -> Index:
     version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
     index = Index(spark, f"{folder}/{version}")
 
@@ -122,7 +122,7 @@ def _write(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFram
     kept_files = put(files, "files")
     kept = put(symbols, "symbols", "lang")
     put(resolve(put(refs, "refs"), kept), "edges")
-    text = fulltext.index_symbols(kept)
+    text = text or fulltext.index_symbols(kept)
     put(text.postings, "postings", "field")
     put(text.lengths, "lengths")
     put(text.stats, "stats")
@@ -172,36 +172,42 @@ class Refreshed:
     symbols_removed: int
 
 
-def refresh(spark: SparkSession, files: DataFrame, registry: Registry, folder: str, plugins: PluginRegistry | None = None, git_head: str | None = None, embedder: Embedder | None = None) -> Refreshed:
-    """Bring the index to the state of ``files`` (all of them): only files
-    whose content hash is new or differs are read by the extractor; what
-    vanished is removed. The result equals a full build but for positions. An
-    index made with another embedder is refused, as vectors would not compare."""
+def refresh(spark: SparkSession, files: DataFrame, registry: Registry, folder: str, plugins: PluginRegistry | None = None, git_head: str | None = None, embedder: Embedder | None = None, listed: DataFrame | None = None) -> Refreshed:
+    """Bring the index to the state of ``files``: only files whose content
+    hash is new or differs are read by the extractor; what vanished is
+    removed. ``files`` are all of them, or, with ``listed`` (``file``: all
+    that are there), those that may have changed. Text and vectors of what is
+    untouched are kept as they are. The result equals a full build but for
+    positions. An index made with another embedder is refused, as vectors
+    would not compare."""
     old, embedder = open_index(spark, folder), embedder or HashEmbedder()
     if old.state["embedder"] != embedder.name:
         raise RuntimeError(f"the index was made with {old.state['embedder']!r}; build it anew for {embedder.name!r}")
     before, old_files = old.symbols, old.table("files")
     files = newest_files(files)
-    diff = deltas.snapshot_diff(old_files, files, "file", "content_hash").persist()
-    try:
-        n = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
-        if not n:
-            return Refreshed(0, 0, 0, 0)
-        touched = diff.select("file")
-        last = old_files.agg(F.max("pos")).first()[0]
-        fresh = with_positions(files.join(diff.where("change <> 'D'").select("file"), "file", "left_semi"), (last if last is not None else -1) + 1)
-        new_files, new_symbols, new_refs = _extract(fresh, registry, plugins, before.join(touched, "file", "left_anti"))
-        keep = lambda df: df.join(touched, "file", "left_anti")
-        symbols = keep(before).unionByName(new_symbols.select(*before.columns))
-        gone = before.join(touched, "file", "left_semi")
-        vecs = old.table("vectors").join(gone.select("id"), "id", "left_anti").unionByName(vectors.index_names(new_symbols, embedder))
-        removed = gone.count()
-        added = new_symbols.count()
-        all_files = keep(old_files).unionByName(new_files.select(*old_files.columns))
-        _write(spark, folder, all_files, symbols, keep(old.table("refs")).unionByName(new_refs), vecs, {"git_head": git_head}, embedder)
-        return Refreshed(n.get("A", 0) + n.get("M", 0), n.get("D", 0), added, removed)
-    finally:
-        diff.unpersist()
+    compared = old_files
+    if listed is not None:
+        gone_files = old_files.join(listed.select("file"), "file", "left_anti")
+        compared = old_files.join(files.select("file"), "file", "left_semi").unionByName(gone_files)
+    diff = Scratch(spark, "refresh").cut(deltas.snapshot_diff(compared, files, "file", "content_hash")).df
+    n = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
+    if not n:
+        return Refreshed(0, 0, 0, 0)
+    touched = diff.select("file")
+    last = old_files.agg(F.max("pos")).first()[0]
+    fresh = with_positions(files.join(diff.where("change <> 'D'").select("file"), "file", "left_semi"), (last if last is not None else -1) + 1)
+    new_files, new_symbols, new_refs = _extract(fresh, registry, plugins, before.join(touched, "file", "left_anti"))
+    new_symbols = Scratch(spark, "refresh").cut(new_symbols).df
+    keep = lambda df: df.join(touched, "file", "left_anti")
+    symbols = keep(before).unionByName(new_symbols.select(*before.columns))
+    gone = before.join(touched, "file", "left_semi")
+    vecs = vectors.upsert(old.table("vectors").join(gone.select("id"), "id", "left_anti"), vectors.index_names(new_symbols, embedder))
+    text = fulltext.add_documents(fulltext.remove_documents(old.text, gone), fulltext.index_symbols(new_symbols))
+    removed = gone.count()
+    added = new_symbols.count()
+    all_files = keep(old_files).unionByName(new_files.select(*old_files.columns))
+    _write(spark, folder, all_files, symbols, keep(old.table("refs")).unionByName(new_refs), vecs, {"git_head": git_head}, embedder, text)
+    return Refreshed(n.get("A", 0) + n.get("M", 0), n.get("D", 0), added, removed)
 
 
 def drop_old(spark: SparkSession, folder: str, versions: list[str]) -> None:

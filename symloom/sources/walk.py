@@ -70,6 +70,18 @@ def walk(config: Config, registry: Registry) -> list[str]:
     return sorted(found)
 
 
+def stat_files(base: Path, paths: list[str]) -> list[tuple[str, int, int]]:
+    """``(file, mtime in microseconds, size)`` of the files that are there."""
+    out = []
+    for p in paths:
+        try:
+            s = os.stat(base / p)
+        except OSError:
+            continue
+        out.append((p, int(s.st_mtime * 1e6), s.st_size))
+    return out
+
+
 def read_files(spark: SparkSession, base: Path, paths: list[str], registry: Registry) -> DataFrame:
     """The files' bytes; one that cannot be read has status ``unreadable``."""
     top = str(base.resolve())

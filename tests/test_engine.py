@@ -114,6 +114,22 @@ def test_build_ask_and_refresh_equals_rebuild(project, spark):
     assert len([v for v in os.listdir(engine.folder) if v.startswith("v-")]) == 1
 
 
+def test_refresh_reads_only_what_may_have_changed(project, spark, monkeypatch):
+    from symloom.sources import walk
+
+    engine, read, asked = Engine(spark, project), walk.read_files, []
+    engine.index()
+    monkeypatch.setattr(walk, "read_files", lambda s, b, paths, r: asked.append(list(paths)) or read(s, b, paths, r))
+    assert engine.index(incremental=True) == indexing.Refreshed(0, 0, 0, 0)
+    (project / "added_later.py").write_text("def added_later():\n    return 1\n")
+    assert engine.index(incremental=True).files_updated == 1
+    (project / "added_later.py").unlink()
+    assert engine.index(incremental=True).files_deleted == 1
+    assert asked == [[], ["added_later.py"], []]
+    assert engine.search("added_later").count() == 0 and engine.index_tables.table("vectors").count() == engine.index_tables.symbols.count()
+    assert engine.index(incremental=True, by="content") == indexing.Refreshed(0, 0, 0, 0) and len(asked[-1]) > 1
+
+
 def test_changes_views_and_embedders(project, spark):
     run = lambda *a: subprocess.run(["git", "-C", str(project), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
     run("init", "-q")
