@@ -11,6 +11,7 @@ import io
 import json
 import subprocess
 import uuid
+import warnings
 from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from symloom import cli
 from symloom.engine import Engine
 from symloom.extract.model import KINDS, Found, clean_comment, kind_of, owners, qualified_names, signature
-from symloom.extract.rules import Registry
+from symloom.extract.rules import LanguageError, Registry, parse_language
 from symloom.extract.tables import PluginRegistry, RegexEdges, extracted, references_of, symbols_of
+from symloom.functions.embedders import create_embedder
 from symloom.functions.keys import clean_name, plain_path
 from symloom.functions.scalars import hash_embedding, parse_id
 from symloom.operators import fulltext, graph, vectors
@@ -430,6 +432,84 @@ def tool_incremental_index(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(spark, [_called(engine, "incremental_index") | {"file_count": engine.status()["file_count"]}], "status string, files_updated long, files_deleted long, file_count long")
 
 
+def changed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What a project shows since its index was made, by content."""
+    engine = _project(spark, sf)
+    engine.index()
+    paths = walking.walk(engine.config, engine.registry)
+    (engine.base / paths[0]).write_bytes(b"changed")
+    (engine.base / paths[1]).unlink()
+    (engine.base / "added.py").write_text("def added():\n    return 1\n")
+    return engine.changes("content")
+
+
+def initialised(spark: SparkSession, sf: str) -> DataFrame:
+    """What preparing a project writes, and that it does so once."""
+    engine = Engine(spark, _folder(spark, "init"))
+    engine.base.mkdir(parents=True)
+    done = [engine.init(), engine.init()]
+    found = sorted(p.relative_to(engine.base).as_posix() for p in engine.base.rglob("*.toml"))
+    return spark.createDataFrame([(f, done[0], done[1]) for f in found], "file string, first boolean, again boolean")
+
+
+_RULES = """
+id = "toy"
+extensions = ["toy", ".TOY2"]
+family = "hash"
+[[symbol]]
+node = "function_definition"
+match = '^to (?P<def>(?P<name>\\w+))'
+ends = "line"
+"""
+
+
+def added_language(spark: SparkSession, sf: str) -> DataFrame:
+    """A language added to a project, and which language files of it have then."""
+    engine = Engine(spark, _folder(spark, "language"))
+    engine.base.mkdir(parents=True)
+    engine.init()
+    rules = engine.base / "toy.toml"
+    rules.write_text(_RULES)
+    engine.add_language(rules)
+    return spark.createDataFrame([(f, lang.id) for f in ("a.toy", "b.Toy2", "c.py", "d.toys", ".toy") if (lang := engine.registry.for_file(f))], "file string, language string")
+
+
+def rule_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rule files are refused: no id, a broken pattern, an unknown family or front end, no TOML."""
+    cases = {
+        "good": _RULES, "no_id": _RULES.replace("id =", "ident ="), "pattern": _RULES.replace("(?P<name>", "(?P<name"), "family": _RULES.replace('"hash"', '"none"'),
+        "front_end": 'frontend = "other"' + _RULES, "no_toml": "id = ",
+    }
+
+    def refused(text: str) -> bool:
+        try:
+            return not parse_language(text).rules
+        except LanguageError:
+            return True
+
+    return spark.createDataFrame([(n, refused(t)) for n, t in cases.items()], "rules string, refused boolean")
+
+
+def without_index(spark: SparkSession, sf: str) -> DataFrame:
+    """What a project without an index says: its status, and that asking fails."""
+    engine = Engine(spark, _folder(spark, "none"))
+    try:
+        engine.find("a")
+        asked = "answered"
+    except indexing.IndexNotFound:
+        asked = "refused"
+    return spark.createDataFrame([(engine.status()["status"], asked)], "status string, asked string")
+
+
+def chosen_embedder(spark: SparkSession, sf: str) -> DataFrame:
+    """The embedder where no model loads, and the length of what it makes of names."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        made = create_embedder("/nonexistent/model")
+    lengths = vectors.index_names(_current(spark, sf), made).groupBy(F.size("vec").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    return lengths.select(F.lit(made.name).alias("name"), F.lit(made.dim).alias("dim"), "length", "n")
+
+
 def _read(spark: SparkSession, sf: str) -> DataFrame:
     return extracted(indexing.with_positions(indexing.newest_files(table(spark, sf, "source_files"))), Registry.load())
 
@@ -479,7 +559,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         engine_resolve, engine_callers, engine_callees, engine_languages, neighborhood_text, tool_search, tool_semantic_search, tool_find_symbol, tool_get_symbol,
         tool_find_callers, tool_find_callees, tool_expand_neighborhood, tool_index_status, console_find, kind_of_node, qualified, first_owner, signatures, comment_lines,
         id_forms, hash_vectors, vector_upsert, regex_plugin, given_edges, walked_files, loaded_configs, detected_languages, builtin_extensions, dispatched, git_changes,
-        refreshed_files, refresh_differences, tool_index, tool_incremental_index, extracted_definitions, extracted_imports,
+        refreshed_files, refresh_differences, tool_index, tool_incremental_index, changed_files, initialised, added_language, rule_errors, without_index,
+        chosen_embedder, extracted_definitions, extracted_imports,
     )
 }
 
@@ -589,6 +670,12 @@ ORACLE = {
     "extracted_definitions": f"SELECT DISTINCT lang, file, name, start_byte FROM ({_ALL}) WHERE kind IN ('function', 'class', 'struct', 'trait') AND start_byte IS NOT NULL AND length(name) > 1 AND file IN (SELECT file FROM source_files WHERE status = 'ok')",
     "extracted_imports": r"""WITH v AS (SELECT DISTINCT file, decode(content) AS t FROM source_files WHERE status = 'ok' AND ends_with(file, '.py'))
         SELECT file, to_name, count(*) AS n FROM (SELECT file, unnest(regexp_extract_all(t, '(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b', 1)) AS to_name FROM v UNION ALL SELECT file, unnest(regexp_extract_all(t, '(?m)^[ \t]*import[ \t]+([\w.]+)', 1)) FROM v) GROUP BY ALL""",
+    "changed_files": f"WITH w AS (SELECT file, row_number() OVER (ORDER BY file) AS r FROM ({_WALKED})) SELECT file, CASE r WHEN 1 THEN 'M' ELSE 'D' END AS change FROM w WHERE r <= 2 UNION ALL SELECT 'added.py', 'A'",
+    "initialised": "SELECT '.symloom/languages/' || unnest(['c', 'go', 'javascript', 'python', 'rust', 'typescript']) || '.toml' AS file, true AS first, false AS again",
+    "added_language": _values([("a.toy", "toy"), ("b.Toy2", "toy"), ("c.py", "python")], "file, language"),
+    "rule_errors": "SELECT * FROM (VALUES ('good', false), ('no_id', true), ('pattern', true), ('family', true), ('front_end', true), ('no_toml', true)) AS v(rules, refused)",
+    "without_index": "SELECT 'no_index' AS status, 'refused' AS asked",
+    "chosen_embedder": f"WITH {_CUR} SELECT 'hash' AS name, 32 AS dim, 32 AS length, count(*) AS n FROM cur WHERE name IS NOT NULL UNION ALL SELECT 'hash', 32, -1, count(*) FROM cur WHERE name IS NULL HAVING count(*) > 0",
     "tool_index": f"SELECT 'ok' AS status, count(DISTINCT file) AS file_count FROM ({_WALKED})",
     "tool_incremental_index": f"SELECT 'ok' AS status, 2::BIGINT AS files_updated, 1::BIGINT AS files_deleted, count(DISTINCT file) AS file_count FROM ({_WALKED})",
     "refreshed_files": "SELECT DISTINCT file, content_hash, n_bytes FROM source_files WHERE file IS NOT NULL",
