@@ -48,13 +48,13 @@ def run(engine: Engine, args: argparse.Namespace, out=sys.stdout) -> int:
             done = engine.index(args.incremental)
             say(f"{done} in {time.time() - started:.1f} s" if done else f"indexed in {time.time() - started:.1f} s")
         case "search" | "semantic-search":
-            for r in (engine.search if args.command == "search" else engine.semantic_search)(args.query, args.limit).collect():
+            for r in (engine.search if args.command == "search" else engine.semantic_search)(args.query, args.limit).toLocalIterator():
                 say(f"{r.name} ({r.kind}, {r.lang}) - {r.file} [score: {r.score:.3f}]")
         case "find":
-            for r in engine.find(args.query, limit=args.limit).collect():
+            for r in engine.find(args.query, limit=args.limit).toLocalIterator():
                 say(f"{r.name} ({r.kind}, {r.lang}) {r.file}:{r.start_line} {r.signature or ''}".rstrip())
         case "callers" | "callees":
-            for r in (engine.callers if args.command == "callers" else engine.callees)(args.name).collect():
+            for r in (engine.callers if args.command == "callers" else engine.callees)(args.name).toLocalIterator():
                 say(f"{r.name} ({r.kind}) {r.file} [{r.edge_kind}]")
         case "neighborhood":
             say(engine.neighborhood(engine.resolve(args.name), args.depth, args.cap)[1])
