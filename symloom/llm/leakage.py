@@ -74,8 +74,10 @@ def words(text: str | None) -> list[str]:
 @lru_cache
 def compared() -> np.ndarray:
     """For every code point whether it is part of words."""
-    points = np.fromiter((_WORD.match(chr(c)) is not None for c in range(0x30000)), bool, 0x30000)
-    return np.concatenate([points, np.fromiter((_WORD.match(chr(c)) is not None for c in range(0x30000, 0x34000)), bool, 0x4000), np.zeros(0x110000 - 0x34000, bool)])
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x34000)]))
+    out = np.zeros(0x110000, bool)
+    out[np.frombuffer("".join(_WORD.findall(every)).encode("utf-32-le"), np.uint32)] = True
+    return out
 
 
 def streams(texts: Sequence[str | None], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
